@@ -43,18 +43,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = F.sha2("t", 256).alias("full")
     table = materialize(texts.select("id", *keys, *([full] if digest_all else [])), "exact-keys")
     lengths = table.groupBy("n").agg(F.count("*").alias("c")).where("c > 1").select("n")
-    heads = table.join(lengths, "n", "left_semi").groupBy("n", "head").agg(F.count("*").alias("c")).where("c > 1").select("n", "head")
-    survivors = table.join(heads, ["n", "head"], "left_semi")
-    if not digest_all:
+    prefixes = table.groupBy("n", "head").agg(F.count("*").alias("c"))
+    heads = prefixes.join(lengths, "n", "left_semi").where("c > 1").select("n", "head")
+    if digest_all:
+        survivors = table.groupBy("n", "head", "full").agg(F.min("id").alias("id"), F.count("*").alias("rows")).join(heads, ["n", "head"], "left_semi")
+    else:
+        survivors = table.join(heads, ["n", "head"], "left_semi")
         wanted = texts.join(survivors.select("id").distinct(), "id", "left_semi")
         table = table.join(wanted.select("id", *keys, full).distinct(), ["id", "n", "head"], "left")
         table = materialize(table, "exact-digests")
-        survivors = table.where("full is not null")
-    groups = (
-        survivors.groupBy("n", "head", "full")
-        .agg(F.min("id").alias("keep"), F.count("*").alias("c"))
-        .where("c > 1")
-    )
+        survivors = table.where("full is not null").withColumn("rows", F.lit(1))
+    groups = survivors.groupBy("n", "head", "full").agg(F.min("id").alias("keep"), F.sum("rows").alias("c")).where("c > 1")
     return table.join(groups, ["n", "head", "full"], "left").select(
         F.col("id").alias(id_col),
         F.coalesce("keep", "id").alias("keep_id"),
