@@ -3,11 +3,11 @@
 1. Voters. Single words (lexicon voters) and word beginnings or ends of 3 to 7 bytes
    (pattern voters) that are far likelier in labelled toxic texts vote toxic where they
    occur and abstain elsewhere; each rule reads a text alone.
-2. Label model. A latent class model of the voters' firing, with the given label as one
-   more voter, is fitted by expectation maximisation: per class each voter's rate (its
-   accuracy) and, along a maximum spanning tree of conditional mutual information, its
-   dependence on one other voter (the correlations), so that voters that fire together
-   do not count twice.
+2. Label model. A latent class model of the votes, with the given label as one more
+   voter that never abstains, is fitted by expectation maximisation: per class each
+   voter's rate (its accuracy) and, along a maximum spanning tree of conditional mutual
+   information, its dependence on one other voter (the correlations), so that voters that
+   fire together do not count twice. Abstaining says nothing about the class.
 3. Classifier. Logistic regression on hashed word, beginning and end features, trained
    on the posterior labels.
 
@@ -37,6 +37,7 @@ BITS = 20
 EDGES = (3, 4, 5, 6, 7)
 _M = np.uint64(0x9E3779B97F4A7C15)
 _KINDS = 1 + 2 * len(EDGES)
+TIMES = (1, 2, 3)
 
 
 def word_features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -69,19 +70,30 @@ def word_features(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return out
 
 
+def again(slot: np.ndarray, times: int) -> np.ndarray:
+    """Slot of the feature that a feature occurs in at least times different words."""
+    if times == 1:
+        return slot
+    return ((slot.astype(np.int64) + 1) * (2654435761 + 2 * times) >> 7 & ((1 << BITS) - 1)).astype(np.int32)
+
+
 def presence(texts: list[str | None], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, slot) pairs, each once, of the features in texts whose slot is wanted."""
-    rows, cols = [], []
+    """(text, slot) pairs, each once: features in one, two and three or more different words.
+
+    Only features whose slot is wanted are counted.
+    """
+    found = []
     for at, lot in textbuf.parts(texts):
         f = word_features(*(w := textbuf.words(lot))[:3])
-        hit = (f >= 0) & wanted[f]
-        word, kind = np.nonzero(hit)
-        rows.append(np.asarray(at)[w[3][word]])
-        cols.append(f[word, kind])
-    if not rows:
-        return np.zeros(0, int), np.zeros(0, np.int32)
-    key = np.unique(np.concatenate(rows).astype(np.int64) << BITS | np.concatenate(cols))
-    return key >> BITS, (key & ((1 << BITS) - 1)).astype(np.int32)
+        word, kind = np.nonzero((f >= 0) & wanted[f])
+        key = np.asarray(at, np.int64)[w[3][word]] << (2 * BITS) | f[word, kind].astype(np.int64) << BITS | f[word, 0]
+        found.append(np.unique(key))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int32)
+    key, count = np.unique(np.unique(np.concatenate(found)) >> BITS, return_counts=True)
+    row, slot = key >> BITS, (key & ((1 << BITS) - 1)).astype(np.int32)
+    more = [(row[count >= t], again(slot[count >= t], t)) for t in TIMES]
+    return np.concatenate([r for r, _ in more]), np.concatenate([c for _, c in more])
 
 
 @dataclass
@@ -93,12 +105,13 @@ class LabelModel:
     rate: np.ndarray  # class x parent state x voter
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """P(toxic | votes) of rows of 0/1 votes."""
+        """P(toxic | votes) of rows of 0/1 votes, the last column the given label."""
         state = np.where(self.parent >= 0, votes[:, self.parent], 0).astype(int)
         logs = []
         for y in (0, 1):
             r = np.where(state == 1, self.rate[y, 1], self.rate[y, 0])
-            logs.append(np.where(votes == 1, np.log(r), np.log1p(-r)).sum(1) + np.log(self.prior if y else 1 - self.prior))
+            told = np.where(votes == 1, np.log(r), 0).sum(1) + np.where(votes[:, -1] == 0, np.log1p(-r[:, -1]), 0)
+            logs.append(told + np.log(self.prior if y else 1 - self.prior))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))
 
 
@@ -137,6 +150,7 @@ def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> L
             for s in (0, 1):
                 m = (state == s) * w[:, None]
                 rate[y, s] = ((votes * m).sum(0) + 2 * alone) / (m.sum(0) + 2)
+        rate[0, :, -1], rate[1, :, -1] = np.minimum(rate[0, :, -1], 0.02), np.maximum(rate[1, :, -1], 0.98)
         model = LabelModel(float(np.clip(q.mean(), 0.01, 0.99)), parent, np.clip(rate, 1e-4, 1 - 1e-4))
         new = model.posterior(votes)
         if np.abs(new - q).max() < 1e-3:
@@ -152,13 +166,17 @@ class Model:
     weight: np.ndarray
     bias: float
 
+    def __post_init__(self):
+        every = np.arange(1 << BITS, dtype=np.int32)
+        self.wanted = np.logical_or.reduce([self.weight[again(every, t)] != 0 for t in TIMES])
+
     def score(self, texts: list[str | None]) -> np.ndarray:
-        row, slot = presence(texts, self.weight != 0)
+        row, slot = presence(texts, self.wanted)
         z = self.bias + np.bincount(row, self.weight[slot], len(texts))
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def train(texts: list[str | None], toxic: list[int], voters: int = 60, least: int = 4, steps: int = 300, l2: float = 0.02) -> Model:
+def train(texts: list[str | None], toxic: list[int], voters: int = 200, least: int = 3, steps: int = 400, l2: float = 1.0, lift_min: float = 3.0, z_min: float = 3.0) -> Model:
     """Voters, label model and classifier from labelled texts."""
     y = np.asarray(toxic, float)
     if not len(y) or y.min() == y.max():
@@ -169,7 +187,7 @@ def train(texts: list[str | None], toxic: list[int], voters: int = 60, least: in
     p1, p0 = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
     z = (np.log(p1 / (1 - p1)) - np.log(p0 / (1 - p0))) / np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
     lift = np.log(p1 / p0)
-    good = np.flatnonzero((c1 >= least) & (lift > 1.5) & (z > 2.5))
+    good = np.flatnonzero((c1 >= least) & (lift > lift_min) & (z > 2.5))
     panel = good[np.argsort(-z[good], kind="stable")[:voters]]
     place = np.full(1 << BITS, -1)
     place[panel] = np.arange(len(panel))
@@ -178,7 +196,7 @@ def train(texts: list[str | None], toxic: list[int], voters: int = 60, least: in
     votes[row[mine], place[slot[mine]]] = 1
     votes[:, -1] = y
     q = fit_label_model(votes, 0.1 + 0.8 * y).posterior(votes)
-    used = np.flatnonzero((c1 + c0 >= least) & (np.abs(z) > 2.5) & (np.abs(lift) > 0.7))
+    used = np.flatnonzero((c1 >= least) & (z > z_min) & (lift > lift_min))
     place[:] = -1
     place[used] = np.arange(len(used))
     mine = place[slot] >= 0
@@ -188,7 +206,7 @@ def train(texts: list[str | None], toxic: list[int], voters: int = 60, least: in
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(r, w[f], len(y)), -40, 40)))
         err = q - p
-        g = np.bincount(f, err[r], len(used)) - l2 * len(y) * w / 10
+        g = np.bincount(f, err[r], len(used)) - l2 * w
         g2, gb = g2 + g * g, gb + err.sum() ** 2
         w += 0.3 * g / np.sqrt(g2)
         b += 0.3 * err.sum() / np.sqrt(gb)
@@ -206,7 +224,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, max_chars:
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id").collect()
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 8000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_chars: int = 8000) -> DataFrame:
     """(doc_id, score) for every row of docs."""
     sample = training_rows(docs, labels, per_class, max_chars)
     model = train([r.text for r in sample], [int(r.toxic) for r in sample])
