@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vectide.llm import decontaminate, exact_dedup, language_id, line_dedup, pieces, pii, toxicity, warc
+from vectide.llm import decontaminate, exact_dedup, language_id, line_dedup, ngram_join, pieces, pii, repeats, toxicity, warc
 
 
 def queries():
@@ -13,7 +13,9 @@ def queries():
         "op3_language_id": language_id.op3_language_id,
         "op4_pieces": pieces.op4_pieces,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_toxicity": toxicity.op7_toxicity,
+        "op8_repeats": repeats.op8_repeats,
         "op9_decontaminate": decontaminate.op9_decontaminate,
         "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     }
@@ -24,6 +26,7 @@ def oracle_sql():
     return {
         "op1_warc": warc.SQL,
         "op5_line_dedup": line_dedup.SQL,
+        "op6_ngram_join": ngram_join.SQL,
         "op9_decontaminate": decontaminate.SQL,
         "op10_exact_dedup": exact_dedup.SQL,
     }
