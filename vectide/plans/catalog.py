@@ -14,9 +14,6 @@ from vectide.operators import cluster, evaluate, exact, ivf
 from vectide.operators.graph import descent, index, kernel
 from vectide.types import BuildParams, SearchParams
 
-SHUFFLED = SearchParams(k=10, beam=10)
-
-
 def base(spark, sf_dir: str) -> DataFrame:
     """Float vectors (id, vec)."""
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
@@ -307,10 +304,8 @@ def graph_popularity(spark, sf_dir):
     """Incoming edges as visits: counts, log popularity and the pruning factor from it."""
     e = knn_edges(spark, sf_dir)
     pop = evaluate.popularity(e.select(F.col("dst").alias("id")), base(spark, sf_dir))
-    lo, hi = F.min("pop").over(Window.partitionBy()), F.max("pop").over(Window.partitionBy())
     stats = pop.agg(F.min("pop").alias("lo"), F.max("pop").alias("hi"))
     share = F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("pop")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    del lo, hi
     return pop.crossJoin(F.broadcast(stats)).select("id", "visits", _r(F.col("pop")).alias("pop"), F.round(1.0 + share * 0.1, 6).alias("alpha"))
 
 
@@ -559,7 +554,7 @@ SELECT cid AS id, round(sum(v ORDER BY pos), 5) AS total, round(max(CASE WHEN po
 
 
 def medoids(spark, sf_dir):
-    """The member nearest to each sampled centroid other than itself excluded by nothing: the centroid's own row."""
+    """The member nearest to each sampled centroid after a shift of all its components."""
     e = base(spark, sf_dir)
     cent = ivf.random_centroids(e, 1 / 16)
     got = cluster.assign(e, cent)
@@ -628,8 +623,8 @@ def batch_ranges(spark, sf_dir):
 
 _BATCHES = """WITH RECURSIVE n AS (SELECT count(*) AS n, greatest(1, CAST(floor(0.02 * count(*)) AS BIGINT)) AS m FROM embeddings),
 r(batch, lo, hi) AS (SELECT 0, CAST(0 AS BIGINT), least(1, n) FROM n
-  UNION ALL SELECT batch + 1, CASE WHEN (1 << (batch + 1)) <= m THEN (1 << (batch + 1)) - 1 ELSE hi END,
-    least(n, CASE WHEN (1 << (batch + 1)) <= m THEN (1 << (batch + 2)) - 1 ELSE hi + m END) FROM r, n WHERE hi < n)
+  UNION ALL SELECT batch + 1, CASE WHEN CAST(2 ** least(batch + 1, 40) AS BIGINT) <= m THEN CAST(2 ** least(batch + 1, 40) AS BIGINT) - 1 ELSE hi END,
+    least(n, CASE WHEN CAST(2 ** least(batch + 1, 40) AS BIGINT) <= m THEN CAST(2 ** least(batch + 2, 41) AS BIGINT) - 1 ELSE hi + m END) FROM r, n WHERE hi < n)
 SELECT CAST(batch AS INTEGER) AS batch, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM r"""
 
 
