@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vectide.functions import vector as V
 from vectide.operators import cluster, evaluate, exact, ivf
 from vectide.operators.graph import descent, index, kernel
+from vectide.operators.lineage import cut as table
 from vectide.types import BuildParams, SearchParams
 
 def base(spark, sf_dir: str) -> DataFrame:
@@ -30,13 +31,6 @@ def queries_of(df: DataFrame) -> DataFrame:
     return df.where(F.col("id") % 100 == 0)
 
 
-def table(df: DataFrame) -> DataFrame:
-    """A lineage cut for loops: a table in the checkpoint folder if there is one."""
-    if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.persist()
-
-
 # ---- row-wise functions: name -> (column over v, w, codes) and its SQL -------------------------
 
 _MATRIX = [[((j * 7 + i * 13) % 11 - 5) / 8.0 for i in range(64)] for j in range(16)]
@@ -317,7 +311,7 @@ SELECT id, visits, round(pop, 6) AS pop, round(1.0::DOUBLE + (max(pop) OVER () -
 def graph_reachability(spark, sf_dir):
     """Nodes reachable from vector 0 in the exact 3-neighbour graph."""
     e = knn_edges(spark, sf_dir).where("pos <= 3").select("src", "dst")
-    return index.reach(table(e), 0, table)
+    return index.reach(table(e), 0)
 
 
 _REACH = f"""WITH RECURSIVE {_EDGES}, r(id) AS (SELECT CAST(0 AS BIGINT) UNION SELECT dst FROM r JOIN e ON e.src = r.id AND e.pos <= 3) SELECT id FROM r"""
@@ -420,7 +414,7 @@ UNION ALL SELECT id, degree, 'high' AS side FROM d QUALIFY row_number() OVER (OR
 def neighbour_descent(spark, sf_dir):
     """Neighbour descent: whether at least 0.9 of the exact 10 neighbours are found."""
     e = base(spark, sf_dir)
-    got = descent.descend(e, keep=20, rounds=6, most=24, trees=4, leaf=40, cut=table)
+    got = descent.descend(e, keep=20, rounds=6, most=24, trees=4, leaf=40)
     truth = exact.knn_join(e, e, 11).where("qid <> id")
     w = Window.partitionBy("qid").orderBy("dist", "id")
     truth = truth.withColumn("rnk", F.row_number().over(w)).where("rnk <= 10")
@@ -431,7 +425,7 @@ def neighbour_descent(spark, sf_dir):
 def descent_pruned_search(spark, sf_dir):
     """A neighbour-descent graph, one pruning pass from mirror nodes over it, exhaustive search."""
     e = base(spark, sf_dir)
-    near = descent.descend(e, keep=16, rounds=4, most=16, trees=3, leaf=32, cut=table)
+    near = descent.descend(e, keep=16, rounds=4, most=16, trees=3, leaf=32)
     first = near.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dist", "nbr"))).alias("x"))
     given = first.select("id", F.lit(0).alias("level"), F.col("x.nbr").alias("nbr_ids"), F.col("x.dist").alias("nbr_dists"))
     g = table(index.build(e, "flat", BuildParams(R=16, L=32, VL=64, num_split=0, num_passes=1, rand_sp=True), given=given))
@@ -580,7 +574,7 @@ m AS (SELECT b.id, min(CAST({_L2} AS BIGINT)) AS dist FROM b, q GROUP BY b.id) S
 def cluster_tree(spark, sf_dir):
     """A tree of leaves of at most 64: rows, leaves, whether every leaf is within bounds."""
     e = base(spark, sf_dir)
-    t = cluster.hierarchical(e, k=8, most=64, cut=table)
+    t = cluster.hierarchical(e, k=8, most=64)
     s = t.groupBy("leaf").agg(F.count("*").alias("n"))
     return s.agg(F.sum("n").alias("rows"), (F.max("n") <= 64).alias("bounded"))
 
