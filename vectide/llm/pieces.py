@@ -15,8 +15,8 @@ A-star over the blocks whose best change costs least, with the heuristic that al
 before are at their best. Blocks of up to WIDE characters are scored for the whole batch
 at once, each distinct block once.
 
-Ties: of equal scores the path with the longer last pieces comes first within a block,
-and the change in the earliest block comes first across blocks.
+Ties: of equal scores the partial path that is nearest to the start goes on first, in
+both searches, so many equal paths do not multiply the work.
 
 Defined results for odd input: null texts give null ids; empty texts give no ids and one
 path of score 0; fewer than N paths are returned if the lattice has fewer; rows that
@@ -152,9 +152,9 @@ def spelled(v: Vocabulary, text: str, path: tuple) -> list[int]:
 def nbest_block(v: Vocabulary, text: str, n: int) -> list[tuple[float, list[int]]]:
     """The n best paths of one lattice by backward A-star, best first."""
     f = forward(v, text)
-    queue, out, tick = [(-f[len(text)], 0, 0.0, len(text), None)], [], 0
+    queue, out, tick = [(-f[len(text)], len(text), 0, 0.0, None)], [], 0
     while queue and len(out) < n:
-        _, _, done, at, path = heapq.heappop(queue)
+        _, at, _, done, path = heapq.heappop(queue)
         if at == 0:
             steps = []
             while path:
@@ -165,7 +165,7 @@ def nbest_block(v: Vocabulary, text: str, n: int) -> list[tuple[float, list[int]
         for start, i in arcs_into(v, text, at):
             tick += 1
             score = done + (v.score[i] if i >= 0 else v.unknown)
-            heapq.heappush(queue, (-(f[start] + score), tick, score, start, ((start, at, i), path)))
+            heapq.heappush(queue, (-(f[start] + score), start, tick, score, ((start, at, i), path)))
     return out
 
 
@@ -174,15 +174,15 @@ def nbest_chain(losses: list[list[float]], n: int) -> list[tuple[float, list[int
 
     Backward A-star; the blocks still to come are at loss 0, which is exact.
     """
-    queue, out, tick = [(0.0, 0, len(losses), ())], [], 0
+    queue, out, tick = [(0.0, len(losses), 0, ())], [], 0
     while queue and len(out) < n:
-        loss, _, k, chosen = heapq.heappop(queue)
+        loss, k, _, chosen = heapq.heappop(queue)
         if k == 0:
             out.append((loss, list(chosen)))
             continue
         for c, x in enumerate(losses[k - 1]):
             tick += 1
-            heapq.heappush(queue, (loss + x, tick, k - 1, (c, *chosen)))
+            heapq.heappush(queue, (loss + x, k - 1, tick, (c, *chosen)))
     return out
 
 
