@@ -78,7 +78,7 @@ class Vocabulary:
     @staticmethod
     def hashes(code: np.ndarray, h: np.ndarray) -> np.ndarray:
         """Hash after one more character."""
-        return (h ^ code) * _P + (h >> np.uint64(33))
+        return (h ^ (code + np.uint64(1))) * _P + (h >> np.uint64(33))
 
     def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (h >> np.uint64(47)).astype(np.int64), ((h * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(47)).astype(np.int64)
