@@ -124,6 +124,13 @@ def _lots(texts: list[bytes], length: int, gram: int) -> Iterator[Lot]:
         yield lot
 
 
+def _places(data: bytes, length: int, gram: int) -> set[int]:
+    """Anchor positions that a string has by itself, whatever surrounds it."""
+    lot = Lot(length, gram)
+    lot.add(0, 0, data, 0, len(data) - length + 1)
+    return set(lot.anchors()[1].tolist())
+
+
 def _anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """(h, ctx, id, pos, l, r) of every anchor."""
 
@@ -175,30 +182,51 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((d, left))
 
 
-def repeat_groups(rights: list[bytes], lefts: list[bytes], length: int) -> Iterator[tuple[int, int, list[int]]]:
-    """Groups (left extension, depth, members) of contexts around equal anchors.
+def _tree(rights: list[bytes], lefts: list[bytes], length: int):
+    """Intervals of the right parts as (depth, first, last, members by left part, their neighbours' common left parts).
 
-    rights are the bytes from the anchor on, lefts the bytes before it, reversed. Members
-    agree in the group's bytes, which number length or more.
+    Only intervals with a pair of members that agree in length or more bytes.
     """
     order = sorted(range(len(rights)), key=rights.__getitem__)
-    spot = {m: i for i, m in enumerate(order)}
     by_left = {m: i for i, m in enumerate(sorted(range(len(lefts)), key=lefts.__getitem__))}
     lcp = [common_prefix(rights[a], rights[b]) for a, b in zip(order, order[1:])]
     for depth, first, last in intervals(lcp):
-        need = max(0, length - depth)
         members = sorted(order[first : last + 1], key=by_left.__getitem__)
         near = [common_prefix(lefts[a], lefts[b]) for a, b in zip(members, members[1:])]
-        if max(near) < need:
-            continue
+        if depth + max(near) >= length:
+            yield depth, members, near
+
+
+def repeat_groups(rights: list[bytes], lefts: list[bytes], length: int) -> Iterator[tuple[int, int, list[int]]]:
+    """Groups (left extension, depth, members) of contexts around equal anchors.
+
+    rights are the bytes from the anchor on, lefts the bytes before it, reversed. Members
+    agree in the group's bytes, which number length or more; the bytes before and after
+    differ somewhere in the group (or leave the context), so the group's string is
+    maximal: a run of common left extension splits off its members where they differ on
+    the left, and it is left to a deeper interval where they all agree on the right.
+    """
+    for depth, members, near in _tree(rights, lefts, length):
         for ext, lo, hi in intervals(near):
-            if ext >= need:
+            if ext + depth >= length:
                 group = members[lo : hi + 1]
-                at = [spot[m] for m in group]
-                if min(lcp[min(at) : max(at)]) == depth:  # else a deeper interval has the same members
+                ends = sorted(rights[m][: depth + 1] for m in (min(group, key=rights.__getitem__), max(group, key=rights.__getitem__)))
+                if len(ends[0]) <= depth or ends[0] != ends[1]:
                     yield ext, depth, group
 
 
+def stretches(rights: list[bytes], lefts: list[bytes], length: int) -> dict[int, tuple[int, int]]:
+    """Member -> (bytes before, bytes from the anchor on) that its repeats cover together."""
+    best: dict[int, tuple[int, int]] = {}
+    for depth, members, near in _tree(rights, lefts, length):
+        for i, m in enumerate(members):
+            e = max(near[i - 1] if i else -1, near[i] if i < len(near) else -1)
+            if e + depth >= length:
+                x = best.get(m, (0, 0))
+                best[m] = (max(x[0], e), max(x[1], depth))
+    return best
+
+
 def _trees(contexts: DataFrame, length: int) -> DataFrame:
     """Covered stretches (id, lo, hi) of contexts (h, id, pos, left, right), by k-gram."""
 
@@ -206,14 +234,9 @@ def _trees(contexts: DataFrame, length: int) -> DataFrame:
         lefts, rights = [r[3] for r in rows], [r[4] for r in rows]
         if len(rows) == 2:
             e, d = common_prefix(*lefts), common_prefix(*rights)
-            groups = [(e, d, [0, 1])] if e + d >= length else []
+            best = {0: (e, d), 1: (e, d)} if e + d >= length else {}
         else:
-            groups = repeat_groups(rights, lefts, length)
-        best: dict[int, tuple[int, int]] = {}
-        for e, d, members in groups:
-            for m in members:
-                x = best.get(m, (0, 0))
-                best[m] = (max(x[0], e), max(x[1], d))
+            best = stretches(rights, lefts, length)
         for m, (e, d) in best.items():
             yield rows[m][1], rows[m][2] - e, rows[m][2] + d
 
@@ -247,18 +270,23 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live, classes, places = _classes(_anchors(texts, length, gram))
     every = classes.where("mixed").select("h", "ctx", "at.id", "at.pos")
     name = F.xxhash64("h", "ctx", "l", "r")
-    whole = live.join(classes.where("c > 1").select("h", "ctx"), ["h", "ctx"], "left_semi")
+    whole = live.where("not mixed").join(classes.where("c > 1").select("h", "ctx"), ["h", "ctx"], "left_semi")
     whole = whole.select(name.alias("group"), (F.col("l") + F.col("r")).cast("int").alias("size"), "id", (F.col("pos") - F.col("l")).alias("start"))
 
     def run(batches):
         held: list[tuple] = []
 
         def solve() -> pa.RecordBatch | None:
-            out = []
-            for e, d, members in repeat_groups([r[4] for r in held], [r[3] for r in held], length) if len(held) > 1 else ():
-                one = held[members[0]]
-                gid = int.from_bytes(hashlib.blake2b(one[3][:e][::-1] + one[4][:d], digest_size=8).digest(), "little", signed=True)
-                out += [(gid, e + d, held[m][0], held[m][1], held[m][2], e) for m in members]
+            lefts, rights = [r[3] for r in held], [r[4] for r in held]
+            groups = list(repeat_groups(rights, lefts, length)) if len(held) > 1 else []
+            own = [(len(lefts[m]), len(rights[m]), [m]) for m in range(len(held)) if len(lefts[m]) + len(rights[m]) >= length]
+            out, seen = [], set()
+            for e, d, members in groups + own:  # a class whose own string is no group yet may still have two places
+                one = lefts[members[0]][:e][::-1] + rights[members[0]][:d]
+                gid = int.from_bytes(hashlib.blake2b(one, digest_size=8).digest(), "little", signed=True)
+                if gid not in seen and e in _places(one, length, gram):  # else some places have another anchor
+                    seen.add(gid)
+                    out += [(gid, e + d, held[m][0], held[m][1], held[m][2], e) for m in members]
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["group", "size", "h", "id", "pos", "ext"]) if out else None
 
@@ -276,7 +304,9 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "group long, size int, h long, id long, pos int, ext int")
     groups = groups.join(every, ["h", "id", "pos"]).select("group", "size", "h", "ctx", "ext")
     spread = live.select("h", "ctx", "id", "pos").join(groups, ["h", "ctx"]).select("group", "size", "id", (F.col("pos") - F.col("ext")).alias("start"))
-    return whole.unionByName(spread).distinct()
+    every = whole.unionByName(spread).distinct()
+    repeated = every.groupBy("group").agg(F.count("*").alias("c")).where("c > 1").select("group")
+    return every.join(repeated, "group", "left_semi")
 
 
 def _counted(contexts: DataFrame, length: int) -> DataFrame:
@@ -325,7 +355,7 @@ def _contexts(texts: DataFrame, places: DataFrame, length: int, gram: int) -> Da
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["h", "id", "pos", "left", "right"])
 
     rows = places.count()
-    side = F.broadcast(refs) if rows * 40 <= 24 << 20 else refs
+    side = F.broadcast(refs) if rows * 40 <= 1 << 20 else refs
     return texts.join(side, "id").select("id", "t", "refs").mapInArrow(run, "h long, id long, pos int, left binary, right binary")
 
 
@@ -360,7 +390,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spans = covered(texts, length).groupBy("id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     spans = materialize(spans, "repeat-spans")
     rows = spans.select(F.sum(F.size("spans") + 2)).first()[0] or 0
-    side = F.broadcast(spans) if rows * 16 <= 24 << 20 else spans
+    side = F.broadcast(spans) if rows * 16 <= 1 << 20 else spans
 
     def run(batches):
         for batch in batches:
