@@ -13,8 +13,9 @@ prefix tokens, in which small sets stand too if they can match a large one. Pref
 lengths follow from the similarity bound, so no linked pair is missed. The boundary x is
 the cheapest under a cost model fed with the counted sizes and list lengths.
 
-Lists of up to LIGHT members yield their pairs. A longer list yields each member with
-the list's first and with its neighbour only; links found that way nearly always join
+Lists of up to LIGHT members yield their pairs, if enough of both sets lies behind the
+token's places for it to be the first common one. A longer list yields each member with
+the list's first only, or with its neighbour where the first is too small; links found that way nearly always join
 the list in one component, and then its other pairs cannot change the result. Lists that
 still span several components yield all pairs across components (exact, and empty for
 groups of copies). Pairs are checked by a bitmap bound that never rejects a link, then
@@ -42,9 +43,9 @@ from pyspark.sql import functions as F
 from vectide.llm.common import components, materialize, small_side
 
 LIGHT = 12
-HEAVY_LEAST = 24
+HEAVY_LEAST = 10
 #: Most tokens held in the frequency order; the others count as rare. Affects speed alone.
-HEAVY_MOST = 1 << 17
+HEAVY_MOST = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -163,7 +164,7 @@ def _statistics(texts: DataFrame, words: int) -> tuple[np.ndarray, dict[int, int
 
         def flush():
             tok, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = n >= 3
+            often = n >= 2
             k, c = np.unique(np.array(sizes, np.int64), return_counts=True)
             kind = np.concatenate([np.zeros(often.sum(), np.int32), np.ones(len(k), np.int32), np.array([2, 3], np.int32)])
             key = np.concatenate([tok[often].view(np.int64), k, np.zeros(2, np.int64)])
@@ -177,7 +178,7 @@ def _statistics(texts: DataFrame, words: int) -> tuple[np.ndarray, dict[int, int
                     held.append(s)
                     sizes.append(len(s))
                     size += len(s)
-            if size > 1 << 21:
+            if size > 1 << 22:
                 yield flush()
                 held, size, seen, sizes = [], 0, set(), []
         if held:
@@ -219,7 +220,7 @@ def boundary(sizes: dict[int, int], mean_list: float, bounds: Bounds, most: int
 
 
 def _keys(texts: DataFrame, words: int, heavy: np.ndarray, x: int, bounds: Bounds) -> DataFrame:
-    """(id, n, sig, keys): keys holds (key, flags); flag 1: in the index prefix, 2: small set, 4: a subset."""
+    """(id, n, sig, keys): keys holds (key, flags); flag 1: in the index prefix, 2: small set, 4: a subset; above these bits a token's place in the set's order."""
     order = np.argsort(heavy, kind="stable")
     shared = texts.sparkSession.sparkContext.broadcast((heavy[order], order))
 
@@ -242,34 +243,36 @@ def _keys(texts: DataFrame, words: int, heavy: np.ndarray, x: int, bounds: Bound
                 pi, pp = bounds.index(n), bounds.probe(n)
                 if n > x:
                     k = s[:pp]
-                    f = (np.arange(len(k)) < pi).astype(np.int8)
+                    at = np.arange(len(k), dtype=np.int32)
+                    f = (at < pi) | (at << 3)
                 else:
                     p = s[: min(n, pp + 1)]
                     i, j = np.triu_indices(len(p), 1)
                     with np.errstate(over="ignore"):
                         lo, hi = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
                         k = _mix(lo * _K[11] + hi * _K[12])
-                    f = (j < pi + 1).astype(np.int8) | 6
+                    f = (j < pi + 1).astype(np.int32) | 6
                     if bounds.den * n >= bounds.num * (x + 1):
-                        k, f = np.concatenate([k, s[:pi]]), np.concatenate([f, np.full(pi, 3, np.int8)])
+                        k, f = np.concatenate([k, s[:pi]]), np.concatenate([f, 3 | (np.arange(pi, dtype=np.int32) << 3)])
                 keys.append(k)
                 flags.append(f)
                 lens.append(len(k))
             offsets = np.zeros(len(sets) + 1, np.int32)
             np.cumsum(lens, out=offsets[1:])
             k = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            f = np.concatenate(flags).astype(np.int8) if flags else np.zeros(0, np.int8)
+            f = np.concatenate(flags).astype(np.int32) if flags else np.zeros(0, np.int32)
             items = pa.StructArray.from_arrays([pa.array(k), pa.array(f)], names=["key", "flags"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["id", "n", "sig", "keys"]
             )
 
-    return texts.mapInArrow(run, "id long, n int, sig binary, keys array<struct<key:bigint,flags:tinyint>>")
+    return texts.mapInArrow(run, "id long, n int, sig binary, keys array<struct<key:bigint,flags:int>>")
 
 
 def _fits(n1, n2, f1, f2, num: int, den: int):
-    """Whether members (shorter first) of one list can be a candidate pair."""
-    return (den * n1 >= num * n2) & ((f1 & 1) == 1) & (((f1 & f2 & 2) == 0) | ((f1 & 4) == 4))
+    """Whether members (shorter first) of one list can be a candidate pair with this as their first common token."""
+    rest = np.minimum(n1 - (f1 >> 3), n2 - (f2 >> 3))
+    return (den * n1 >= num * n2) & ((num + den) * rest >= num * (n1 + n2)) & ((f1 & 1) == 1) & (((f1 & f2 & 2) == 0) | ((f1 & 4) == 4))
 
 
 def _scan(rows: DataFrame, num: int, den: int) -> DataFrame:
@@ -279,14 +282,14 @@ def _scan(rows: DataFrame, num: int, den: int) -> DataFrame:
     """
 
     def emit(key, a, b, n, f):
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), b, pa.array(n, pa.int32()), pa.array(f, pa.int8())], names=["key", "a", "b", "n", "flags"])
+        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), b, pa.array(n, pa.int32()), pa.array(f, pa.int32())], names=["key", "a", "b", "n", "flags"])
 
     def scan(batches):
         tail, big = None, None
         it = iter(batches)
         while True:
             batch = next(it, None)
-            cur = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)] if batch is not None else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int8)]
+            cur = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)] if batch is not None else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
             if tail is not None:
                 cur, tail = [np.concatenate(x) for x in zip(tail, cur)], None
             key, ident, n, f = cur
@@ -323,10 +326,13 @@ def _scan(rows: DataFrame, num: int, den: int) -> DataFrame:
                 if g == 0 and going:
                     rows_ = [np.concatenate([[one, two], r]) for one, two, r in zip(big[1], big[2], rows_)]
                 i_, n_, f_ = rows_
-                for p in (np.zeros(len(i_) - 1, int), np.arange(len(i_) - 1)):
-                    q = np.arange(1, len(i_))
-                    ok = _fits(n_[p], n_[q], f_[p], f_[q], num, den)
-                    pairs.append((i_[p][ok], i_[q][ok]))
+                q = np.arange(1, len(i_))
+                first = np.zeros(len(q), int)
+                ok = _fits(n_[first], n_[q], f_[first], f_[q], num, den)
+                pairs.append((i_[first][ok], i_[q][ok]))
+                q = q[~ok]
+                ok = _fits(n_[q - 1], n_[q], f_[q - 1], f_[q], num, den)
+                pairs.append((i_[q - 1][ok], i_[q][ok]))
                 yield emit(key[m], ident[m], pa.nulls(len(m), pa.int64()), n[m], f[m])
                 if g == len(starts) - 1 and batch is not None and tail is None:
                     big = (key[m[-1]], (i_[0], n_[0], f_[0]), (i_[-1], n_[-1], f_[-1]))
@@ -339,7 +345,7 @@ def _scan(rows: DataFrame, num: int, den: int) -> DataFrame:
             if batch is None:
                 return
 
-    return rows.mapInArrow(scan, "key long, a long, b long, n int, flags tinyint")
+    return rows.mapInArrow(scan, "key long, a long, b long, n int, flags int")
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
@@ -390,7 +396,13 @@ def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
 def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) whose sets reach the threshold."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"items_{x}"))
+    pairs = materialize(pairs, "join-todo")
+
+    def side(x: str) -> DataFrame:
+        ids = materialize(pairs.select(F.col(x).alias("id")).distinct(), "join-ids")
+        some = sets.join(small_side(ids, 16), "id", "left_semi")
+        return some.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("items").alias(f"items_{x}"))
+
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     inter = F.size(F.array_intersect("items_a", "items_b")).cast("long")
     return both.where(_linked(inter, "na", "nb", num, den)).select("a", "b")
@@ -420,13 +432,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = got.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = materialize(pairs, "join-pairs")
     lists = got.where("b is null").select("key", F.col("a").alias("id"), "n", "flags")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(lists.select("id")).distinct()
     wanted = materialize(wanted, "join-wanted")
-    sets = materialize(_sets(texts.join(small_side(wanted, 16), "id", "left_semi"), words), "join-sets").dropDuplicates(["id"])
+    sets = materialize(_sets(texts.join(small_side(wanted, 16), "id", "left_semi"), words), "join-sets")
     maybe = materialize(_possible(pairs, sets, num, den), "join-possible")
-    first = materialize(maybe.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "join-first")
+    first = maybe.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = materialize(_links(first, sets, num, den), "join-links")
-    comp = materialize(components(links), "join-comp")
+    comp = materialize(components(links, max_rounds=2, settle=False), "join-comp")
     rest = _labelled(maybe.join(first, ["a", "b"], "left_anti"), comp)
     links = links.unionByName(materialize(_links(rest, sets, num, den), "join-links"))
     comp = materialize(components(links), "join-comp")
@@ -438,6 +450,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     l2 = left.select("key", F.col("id").alias("i2"), F.col("n").alias("n2"), F.col("flags").alias("f2"), F.col("component").alias("c2"))
     across = l1.join(l2, "key").where(
         (F.col("c1") != F.col("c2")) & (F.struct("n1", "i1") < F.struct("n2", "i2")) & (F.col("n1") * den >= F.col("n2") * num)
+        & (F.least(F.col("n1") - F.shiftright("f1", 3), F.col("n2") - F.shiftright("f2", 3)) * (num + den) >= (F.col("n1") + F.col("n2")) * num)
         & (F.col("f1").bitwiseAND(1) == 1) & ((F.col("f1").bitwiseAND(F.col("f2")).bitwiseAND(2) == 0) | (F.col("f1").bitwiseAND(4) == 4))
     )
     across = across.select(F.least("i1", "i2").alias("a"), F.greatest("i1", "i2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
