@@ -8,12 +8,13 @@ number), stays; and a line goes in all its occurrences if another line within on
 
 Method. Equal lines fold into one row by a 128-bit hash. Two different lines within one
 edit agree in their first or in their last half, so each line emits four half keys and
-only lines that share one go on; that loses no pair. These emit all their variants with
-one code point deleted in the half that may differ, as hashed keys (variant, position),
-and themselves as (variant, none). Lines that meet in (variant, position) differ by one
-substitution there; a line that equals a variant is one deletion away. So the earliest
-partner is a grouped minimum of the key, and no pairs within a group are ever listed.
-The partner found is verified by edit distance on the texts.
+only lines that share one go on; these agree with a partner in all but one of BLOCKS
+blocks, which is keyed and matched likewise. Neither filter loses a pair. What is left
+emits all its variants with one code point deleted in the blocks that may differ, as
+hashed keys (variant, position), and itself as (variant, none). Lines that meet in
+(variant, position) differ by one substitution there; a line that equals a variant is one
+deletion away. So the earliest partner is a grouped minimum of the key, and no pairs
+within a group are ever listed. The partner found is verified by edit distance.
 
 Defined results for odd input: null texts stay null and have no lines; empty texts have
 one empty line, which stays; ids are expected to be unique, rows that repeat an id and
@@ -22,12 +23,13 @@ text are folded together; an empty table gives no rows; further columns pass thr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm.common import materialize, small_side
 
-_HALF = "struct<key:bigint,tail:boolean>"
+#: Blocks of the second, finer filter.
+BLOCKS = 16
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -35,7 +37,11 @@ def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.where(F.length(F.trim("line")) >= min_chars)
 
 
-def _half_keys(line: str) -> list:
+def _hashes(line: Column) -> list[Column]:
+    return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(7), line).alias("h2")]
+
+
+def _half_keys(line: str) -> list[Column]:
     """Four keys: the first and the last half for a partner as long, and for one shorter by one."""
     n = F.length(line)
     out = []
@@ -47,39 +53,52 @@ def _half_keys(line: str) -> list:
     return out
 
 
+def _block_keys(line: str) -> Column:
+    """Keys of all but one block, with the positions that an edit in that block can have.
+
+    m is the shorter length of a pair: the line's own, or one less for a shorter partner.
+    """
+
+    def keys(short: int) -> Column:
+        m = F.length(line) - short
+
+        def one(j: Column) -> Column:
+            lo, hi = (j * m / BLOCKS).cast("int"), ((j + 1) * m / BLOCKS).cast("int")
+            key = F.xxhash64(F.lit(3), m, j, F.substring(F.col(line), F.lit(1), lo), F.right(F.col(line), m - hi))
+            return F.struct(key.alias("key"), lo.alias("lo"), (hi - 1 + short).alias("hi"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(BLOCKS - 1)), one)
+
+    return F.concat(keys(0), keys(1))
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     """The lines of docs (id, t) to drop, as (id, no)."""
-    lines = _lines(docs, min_chars).select(
-        "id", "no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), "line").alias("h2"), *_half_keys("line")
-    )
-    lines = materialize(lines, "lines")
+    line = F.col("line")
     halves = ["p0", "s0", "p1", "s1"]
-    classes = lines.groupBy("h1", "h2").agg(F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("c"), *[F.min(k).alias(k) for k in halves])
+    classes = _lines(docs, min_chars).select("id", "no", *_hashes(line), *_half_keys("line")).groupBy("h1", "h2")
+    classes = classes.agg(F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("c"), *[F.min(k).alias(k) for k in halves])
     classes = materialize(classes, "line-classes")
-    keys = classes.select(
-        "first",
-        F.explode(F.array(*[F.struct(F.col(k).alias("key"), F.lit(k[0] == "s").alias("tail")) for k in halves]).cast(f"array<{_HALF}>")).alias("k"),
-    ).select("first", "k.key", "k.tail")
+    keys = classes.select("h1", F.explode(F.array(*halves)).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    live = keys.join(shared, "key", "left_semi").groupBy("first").agg(F.max("tail").alias("edit_head"), F.max(~F.col("tail")).alias("edit_tail"))
-    live = materialize(live, "line-live")
-    wanted = live.groupBy(F.col("first.id").alias("id")).agg(F.collect_list(F.struct(F.col("first.no").alias("no"), "edit_head", "edit_tail")).alias("refs"))
-    wanted = materialize(wanted, "line-wanted")
-    texts = docs.join(small_side(wanted, 160), "id").select("id", F.split("t", "\n", -1).alias("ls"), F.explode("refs").alias("r"))
-    texts = texts.select(F.struct("id", F.col("r.no").alias("no")).alias("at"), F.col("ls")[F.col("r.no")].alias("line"), "r.edit_head", "r.edit_tail")
-    texts = materialize(texts.dropDuplicates(["at"]), "line-texts")
-    n = F.length("line")
-    h = (n / 2).cast("int")
-    low = F.when(F.col("edit_head"), F.lit(0)).otherwise(((n - 1) / 2).cast("int"))
-    high = F.when(F.col("edit_tail"), n - 1).otherwise(h - 1)
-    spots = F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-
-    def variant(x):
-        v = F.concat(F.substring(F.col("line"), F.lit(1), x), F.substring(F.col("line"), x + 2, n))
+    live = materialize(keys.join(shared, "key", "left_semi").select("h1").distinct(), "line-live")
+    wanted = classes.select("h1", "first").join(small_side(live, 24), "h1", "left_semi")
+    wanted = materialize(wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_list("first.no").alias("nos")), "line-wanted")
+    texts = docs.join(small_side(wanted, 160), "id").select("id", F.split("t", "\n", -1).alias("ls"), F.explode("nos").alias("no"))
+    texts = materialize(texts.select(F.struct("id", "no").alias("at"), F.col("ls")[F.col("no")].alias("line")).dropDuplicates(["at"]), "line-texts")
+    blocks = texts.select("at", F.explode(_block_keys("line")).alias("k")).select("at", "k.*")
+    common = blocks.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    open_ = blocks.join(common, "key", "left_semi").groupBy("at").agg(F.collect_set(F.struct("lo", "hi")).alias("open"))
+    texts = materialize(texts.join(open_, "at"), "line-open")
+    spots = F.array_distinct(F.flatten(F.transform("open", lambda r: F.when(r["hi"] >= r["lo"], F.sequence(r["lo"], r["hi"])).otherwise(F.array().cast("array<int>")))))
+
+    def variant(x: Column) -> Column:
+        v = F.concat(F.substring(line, F.lit(1), x), F.substring(line, x + 2, F.length(line)))
         return F.struct(F.xxhash64(v).alias("v1"), F.xxhash64(F.lit(7), v).alias("v2"), x.alias("x"))
 
-    own = F.array(F.struct(F.xxhash64("line").alias("v1"), F.xxhash64(F.lit(7), "line").alias("v2"), F.lit(-1).alias("x")))
+    own = F.array(F.struct(F.xxhash64(line).alias("v1"), F.xxhash64(F.lit(7), line).alias("v2"), F.lit(-1).alias("x")))
     variants = texts.select("at", F.explode(F.concat(own, F.transform(spots, variant))).alias("v")).select("at", "v.*")
+    variants = materialize(variants, "line-variants")
     at_spot = variants.where("x >= 0").groupBy("v1", "v2", "x").agg(F.min("at").alias("to"), F.max("at").alias("hi")).where("to < hi").drop("hi")
     itself = variants.groupBy("v1", "v2").agg(F.min("at").alias("to"), F.max(F.when(F.col("x") == -1, F.col("at"))).alias("own"), F.max("x").alias("x")).where("own is not null and x >= 0").drop("x")
     pairs = (
@@ -88,22 +107,24 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
         .unionByName(itself.select(F.col("own").alias("at"), "to"))
         .where("to < at").distinct()
     )
-    line = texts.select("at", "line")
+    both = texts.select("at", "line")
     near = (
-        pairs.join(line, "at").join(line.select(F.col("at").alias("to"), F.col("line").alias("other")), "to")
+        pairs.join(both, "at").join(both.select(F.col("at").alias("to"), F.col("line").alias("other")), "to")
         .where(F.levenshtein("line", "other", 1) == 1).select("at").distinct()
     )
-    gone = classes.join(near, classes["first"] == near["at"], "left").where("c > 1 or at is not null")
+    near = materialize(near, "line-near")
+    gone = classes.select("h1", "h2", "first", "c").join(small_side(near, 48), F.col("first") == F.col("at"), "left").where("c > 1 or at is not null")
     gone = gone.select("h1", "h2", "first", F.col("at").isNotNull().alias("all"))
-    return lines.join(gone, ["h1", "h2"]).where(F.col("all") | (F.struct("id", "no") != F.col("first"))).select("id", "no").distinct()
+    lines = _lines(docs, min_chars).select("id", "no", *_hashes(line))
+    return lines.join(gone, ["h1", "h2"]).where(F.col("all") | (F.struct("id", "no") != F.col("first"))).select("id", "no")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
     """docs with the dropped lines taken out of the text, plus n_lines and n_removed."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    gone = dropped_lines(slim, min_chars).groupBy("id").agg(F.sort_array(F.collect_list("no")).alias("gone_lines"))
+    gone = dropped_lines(slim, min_chars).groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("gone_lines"))
     gone = materialize(gone, "line-gone").withColumnRenamed("id", "gone_id")
-    out = docs.join(small_side(gone, 400), F.col(id_col) == F.col("gone_id"), "left").drop("gone_id")
+    out = docs.join(small_side(gone, 128), F.col(id_col) == F.col("gone_id"), "left").drop("gone_id")
     none = F.array().cast("array<int>")
     ls = F.split(F.col(text_col), "\n", -1)
     kept = F.filter(ls, lambda x, i: ~F.array_contains("gone_lines", i))
