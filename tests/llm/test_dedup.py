@@ -121,7 +121,7 @@ def test_join(spark, monkeypatch):
     hot = words(80, 9)
     texts += [near(hot, r, r.randint(0, 3)) for _ in range(60)] + [words(r.randint(3, 20), 900 + i) + " " + hot for i in range(30)] + odd_texts()
     monkeypatch.setattr(ngram_join, "HEAVY_LEAST", 3)
-    for x in (None, 0, 40):
+    for x in (None, 40):
         if x is not None:
             monkeypatch.setattr(ngram_join, "boundary", lambda *a, x=x, **k: x)
         got = {d.doc_id: (d.n_shingles, d.component_id) for d in ngram_join.similar_groups(docs(spark, texts)).collect()}
