@@ -32,7 +32,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars follows the new text.
     """
-    got = line_dedup(docs)
+    got = line_dedup(docs, every_line=True)
     got = got.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
     return got.select(*[F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 

@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join with an edit bound of one.
 
 A line is a stretch of text between newline characters. Lines of min_chars code points
-or more (white space at both ends not counted) take part; shorter ones always stay.
+or more (spaces at both ends not counted) take part. With every_line, shorter lines that
+hold anything but ASCII white space take part in the first rule; else they always stay.
 Two rules, judged on the input: of equal lines the earliest occurrence, by (id, line
 number), stays; and a line goes in all its occurrences if another line within one edit
 (insert, delete or substitute one code point) first occurs earlier.
@@ -32,9 +33,10 @@ from vectide.llm.common import materialize, small_side
 BLOCKS = 16
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
+def _lines(docs: DataFrame, min_chars: int, every_line: bool) -> DataFrame:
     rows = docs.select("id", F.posexplode(F.split("t", "\n", -1)).alias("no", "line"))
-    return rows.where(F.length(F.trim("line")) >= min_chars)
+    long = F.length(F.trim("line")) >= min_chars
+    return rows.where(long | F.col("line").rlike(r"[^ \t\r\x0b\x0c]") if every_line else long)
 
 
 def _hashes(line: Column) -> list[Column]:
@@ -72,17 +74,17 @@ def _block_keys(line: str) -> Column:
     return F.concat(keys(0), keys(1))
 
 
-def dropped_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_chars: int = 20, every_line: bool = False) -> DataFrame:
     """The lines of docs (id, t) to drop, as (id, no)."""
     line = F.col("line")
     halves = ["p0", "s0", "p1", "s1"]
-    classes = _lines(docs, min_chars).select("id", "no", *_hashes(line), *_half_keys("line")).groupBy("h1", "h2")
-    classes = classes.agg(F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("c"), *[F.min(k).alias(k) for k in halves])
+    classes = _lines(docs, min_chars, every_line).select("id", "no", *_hashes(line), *_half_keys("line"), (F.length(F.trim(line)) >= min_chars).alias("long")).groupBy("h1", "h2")
+    classes = classes.agg(F.min(F.struct("id", "no")).alias("first"), F.count("*").alias("c"), *[F.min(k).alias(k) for k in [*halves, "long"]])
     classes = materialize(classes, "line-classes")
-    keys = classes.select("h1", F.explode(F.array(*halves)).alias("key"))
+    keys = classes.where("long").select("h1", F.explode(F.array(*halves)).alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     live = materialize(keys.join(shared, "key", "left_semi").select("h1").distinct(), "line-live")
-    wanted = classes.select("h1", "first").join(small_side(live, 24), "h1", "left_semi")
+    wanted = classes.where("long").select("h1", "first").join(small_side(live, 24), "h1", "left_semi")
     wanted = materialize(wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_list("first.no").alias("nos")), "line-wanted")
     texts = docs.join(small_side(wanted, 160), "id").select("id", F.split("t", "\n", -1).alias("ls"), F.explode("nos").alias("no"))
     texts = materialize(texts.select(F.struct("id", "no").alias("at"), F.col("ls")[F.col("no")].alias("line")).dropDuplicates(["at"]), "line-texts")
@@ -115,19 +117,22 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20) -> DataFrame:
     near = materialize(near, "line-near")
     gone = classes.select("h1", "h2", "first", "c").join(small_side(near, 48), F.col("first") == F.col("at"), "left").where("c > 1 or at is not null")
     gone = gone.select("h1", "h2", "first", F.col("at").isNotNull().alias("all"))
-    lines = _lines(docs, min_chars).select("id", "no", *_hashes(line))
+    lines = _lines(docs, min_chars, every_line).select("id", "no", *_hashes(line))
     return lines.join(gone, ["h1", "h2"]).where(F.col("all") | (F.struct("id", "no") != F.col("first"))).select("id", "no")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, every_line: bool = False) -> DataFrame:
     """docs with the dropped lines taken out of the text, plus n_lines and n_removed."""
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    gone = dropped_lines(slim, min_chars).groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("gone_lines"))
+    gone = dropped_lines(slim, min_chars, every_line).groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("gone_lines"))
     gone = materialize(gone, "line-gone").withColumnRenamed("id", "gone_id")
     out = docs.join(small_side(gone, 128), F.col(id_col) == F.col("gone_id"), "left").drop("gone_id")
     none = F.array().cast("array<int>")
     ls = F.split(F.col(text_col), "\n", -1)
-    kept = F.filter(ls, lambda x, i: ~F.array_contains("gone_lines", i))
+    last = F.concat(F.array(F.lit(-1)), F.slice("gone_lines", F.lit(1), F.size("gone_lines") - 1))
+    gaps = F.zip_with("gone_lines", last, lambda a, b: a - b - 1)
+    stays = F.flatten(F.transform(gaps, lambda n: F.concat(F.array_repeat(F.lit(True), n), F.array(F.lit(False)))))
+    kept = F.zip_with(ls, stays, lambda x, y: F.when(F.coalesce(y, F.lit(True)), x))  # array_join skips nulls
     text = F.when(F.col("gone_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
     return out.select(
         *[text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
@@ -142,6 +147,12 @@ def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
     return line_dedup(docs)
 
 
+def op5_line_dedup_every(spark, sf_dir: str) -> DataFrame:
+    """Line dedup of the whole documents table, equal lines of any length included."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return line_dedup(docs, every_line=True)
+
+
 SQL = """
 WITH l AS (
   SELECT doc_id, i - 1 AS no, string_split(text, chr(10))[i] AS line
@@ -162,3 +173,6 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(t, '') END AS
        coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed
 FROM documents d LEFT JOIN s USING (doc_id)
 """
+
+_LONG = "WHERE length(trim(line, ' ')) >= 20"
+EVERY_SQL = SQL.replace(_LONG, rf"{_LONG} OR regexp_matches(line, '[^ \t\r\x0b\x0c]')").replace("AS n FROM q)", f"AS n FROM q {_LONG})")

@@ -13,6 +13,7 @@ def queries():
         "op3_language_id": language_id.op3_language_id,
         "op4_pieces": pieces.op4_pieces,
         "op5_line_dedup": line_dedup.op5_line_dedup,
+        "op5_line_dedup_every": line_dedup.op5_line_dedup_every,
         "op6_ngram_join": ngram_join.op6_ngram_join,
         "op7_toxicity": toxicity.op7_toxicity,
         "op8_repeats": repeats.op8_repeats,
@@ -26,6 +27,7 @@ def oracle_sql():
     return {
         "op1_warc": warc.SQL,
         "op5_line_dedup": line_dedup.SQL,
+        "op5_line_dedup_every": line_dedup.EVERY_SQL,
         "op6_ngram_join": ngram_join.SQL,
         "op9_decontaminate": decontaminate.SQL,
         "op10_exact_dedup": exact_dedup.SQL,
