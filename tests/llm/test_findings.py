@@ -8,7 +8,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from vectide.llm import line_dedup
+from vectide.llm import line_dedup, pii
 
 from .helpers import docs, odd_texts, words
 from .test_dedup import within_one
@@ -47,3 +47,24 @@ def test_equal_lines_match_sql(spark):
     want = con.execute(f"select doc_id, text, n_lines, n_removed from ({line_dedup.EVERY_SQL})").fetchall()
     got = line_dedup.op5_line_dedup_every(spark, DATA).select("doc_id", "text", "n_lines", "n_removed")
     assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def contexts(spark, texts):
+    got = {x.doc_id: x["all"] for x in pii.find_pii(docs(spark, texts)).collect()}
+    return [[(s["kind"], texts[i][s["start"] : s["end"]]) for s in got[i] if s["kind"].startswith("ctx_")] for i in range(len(texts))]
+
+
+def test_patterns_of_identifier_words(spark):
+    texts = [f"hello id 123456 mail: user{i}@mail.example.com bye" for i in range(12)] + ["see 123456 mail: zed-at-7-example bye", "see 123457 mail: zed-at-9-example bye"]
+    got = contexts(spark, texts)
+    assert got[12] == [("ctx_email", "zed-at-7-example")] and not got[13] and not got[0]
+
+
+def test_pattern_is_two_words_before(spark):
+    texts = ["a b 12345", "a 12345 23456 34567 c 45678", "12345", "x" * 400 + " \t" + "y" * 400 + "\n12345", "é 日本 @12345 z"]
+    want = []
+    for i, t in enumerate(texts):
+        w = t.split()
+        want += [(i, x, " ".join(w[k - 2 : k]) if k >= 2 else None) for k, x in enumerate(w) if len(x) >= 5 and any(c in "0123456789@" for c in x)]
+    got = pii.placed(pii.matches(docs(spark, texts))).where("kind = 'word'").select("id", "m", "pattern").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)

@@ -75,7 +75,10 @@ def _valid(kind: Column, m: Column) -> Column:
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One scan of the texts: (id, h, found), found holding (kind, i, gap, left, m) of every raw match."""
+    """One scan of the texts: (id, h, found), found holding (kind, i, gap, left, m) of every raw match.
+
+    left holds the last two words, last first, of the text between a word and the one matched before it.
+    """
     t = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     patterns = {**PATTERNS, "word": IDENTIFIER}
     needs = {**NEEDS, "word": "[0-9@]"}
@@ -84,18 +87,29 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def rows(k: str) -> Column:
         gap = lambda i: F.element_at(f"p_{k}", i + 1)
-        left = (lambda i: F.right(gap(i), F.lit(160))) if k == "word" else (lambda i: F.lit(None).cast("string"))
+        last = lambda i: F.transform(F.slice(F.regexp_extract_all(F.regexp_extract(F.reverse(gap(i)), rf"^[{_WS}]*+(?:[^{_WS}]++[{_WS}]*+){{0,2}}", 0), F.lit(rf"[^{_WS}]++"), F.lit(0)), 1, 2), F.reverse)
+        left = last if k == "word" else (lambda i: F.lit(None).cast("array<string>"))
         return F.transform(f"m_{k}", lambda m, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(gap(i)).alias("gap"), left(i).alias("left"), m.alias("m")))
 
     return t.select("id", "h", F.concat(*[rows(k) for k in patterns]).alias("found"))
 
 
 def placed(found: DataFrame) -> DataFrame:
-    """Raw matches with their code-point spans: (id, h, kind, start, end, left, m)."""
+    """Raw matches with their code-point spans: (id, h, kind, start, end, pattern, m).
+
+    pattern is the two words before a word in the text, be they matched words or not.
+    """
     rows = found.where(F.size("found") > 0).select("id", "h", F.explode("found").alias("x")).select("id", "h", "x.*").dropDuplicates(["id", "h", "kind", "i"])
     so_far = Window.partitionBy("id", "h", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum((F.col("gap") + F.length("m")).cast("long")).over(so_far)
-    return rows.withColumn("end", end).select("id", "h", "kind", (F.col("end") - F.length("m")).alias("start"), "end", "left", "m")
+    order = Window.partitionBy("id", "h", "kind").orderBy("i")
+    back = lambda c, k: F.when(F.col("kind") == "word", F.lag(c, k).over(order))
+    none = F.array().cast("array<string>")
+    one = lambda c: F.when(c.isNotNull(), F.array(c)).otherwise(none)
+    before = F.concat(F.coalesce("left", none), one(back("m", 1)), F.coalesce(back("left", 1), none), one(back("m", 2)))
+    pattern = F.when((F.col("kind") == "word") & (F.size(before) >= 2), F.lower(F.concat_ws(" ", F.reverse(F.slice(before, 1, 2)))))
+    rows = rows.withColumn("end", end).withColumn("pattern", pattern)
+    return rows.select("id", "h", "kind", (F.col("end") - F.length("m")).alias("start"), "end", "pattern", "m")
 
 
 def induce(spans: DataFrame, words: DataFrame, rounds: int = 3, min_seeds: int = 5, min_conf: float = 0.8, min_score: float = 0.8) -> DataFrame:
@@ -106,8 +120,7 @@ def induce(spans: DataFrame, words: DataFrame, rounds: int = 3, min_seeds: int =
     trim = r"^[^A-Za-z0-9+]+"
     lead = F.length("m") - F.length(F.regexp_replace("m", trim, ""))
     core = F.regexp_replace(F.regexp_replace("m", trim, ""), "[^A-Za-z0-9]+$", "")
-    pattern = F.lower(F.regexp_extract("left", rf"([^{_WS}]+[{_WS}]+[^{_WS}]+)[{_WS}]+$", 1))
-    w = words.select("id", "h", (F.col("start") + lead).alias("start"), core.alias("inst"), pattern.alias("pattern"))
+    w = words.select("id", "h", (F.col("start") + lead).alias("start"), core.alias("inst"), "pattern")
     w = w.where("inst <> ''").withColumn("end", F.col("start") + F.length("inst"))
     both = w.select("id", "h", "start", "end", "inst", "pattern", F.lit(None).cast("string").alias("kind")).unionByName(
         spans.select("id", "h", "start", "end", F.lit(None).cast("string").alias("inst"), F.lit(None).cast("string").alias("pattern"), "kind")
