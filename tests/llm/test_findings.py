@@ -65,6 +65,15 @@ def test_pattern_is_two_words_before(spark):
     want = []
     for i, t in enumerate(texts):
         w = t.split()
-        want += [(i, x, " ".join(w[k - 2 : k]) if k >= 2 else None) for k, x in enumerate(w) if len(x) >= 5 and any(c in "0123456789@" for c in x)]
+        want += [(i, x, " ".join(w[k - 2 : k]) if k >= 2 else None) for k, x in enumerate(w) if any(c in "0123456789@" for c in x)]
     got = pii.placed(pii.matches(docs(spark, texts))).where("kind = 'word'").select("id", "m", "pattern").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_identifiers_with_spaces(spark):
+    texts = [f"hello please call now: +1 (017) 555-77{i:02d} bye" for i in range(12)] + ["please call now: 017 555 9999 ext", "please call now:\n(017)  555-8888.", "some call later: 017 555 9999 ext"]
+    texts += [f"you paid with card: 4111 1111 1111 1111 at a@b{i}.com or  x" for i in range(3)] + ["first call now: +1 (017) 555-7701 0475551234 5 z", "call now: " + "9" * 70 + " x"]
+    got = contexts(spark, texts)
+    assert got[12:15] == [[("ctx_phone", "017 555 9999")], [("ctx_phone", "017)  555-8888")], []]
+    assert not any(got[:12] + got[15:18]) and got[18] == [("ctx_phone", "+1 (017) 555-7701 0475551234 5")]  # 22 digits: no base span
+    assert got[19] == [("ctx_phone", "9" * 70)]

@@ -4,9 +4,11 @@ Base: leftmost non-overlapping matches of four patterns, kept if they pass a che
 (an address part of at most 255, 12 to 19 digits and Luhn for cards, 9 to 15 digits
 for phones). Spans count code points, the end is exclusive.
 
-Bootstrapping: every word that looks like an identifier (a digit or an at sign) is an
-instance, the two words before it are its lexical pattern. Instances that overlap a
-base span are seeds of score 1. Rounds of scoring over the pattern-instance graph
+Bootstrapping: every whole base span is an instance and a seed of score 1; of spans that
+overlap, the first and longest. Words that look like identifiers (a digit or an at sign) and
+overlap no base span are unseen; those next to each other, with spaces or tabs between,
+make one instance, less the punctuation at its ends. The two words before the word in which
+an instance starts are its lexical pattern. Rounds of scoring over the pattern-instance graph
 alternate: a pattern's confidence is the summed score of its distinct instances over
 their number plus one; an unseen instance's score is the noisy-or of its patterns'
 confidences. Instances of score min_score next to a pattern of at least min_seeds
@@ -39,8 +41,8 @@ PATTERNS = {
 #: A cheap test that a text can hold a match at all.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _WS = r"\x20\x09-\x0D"
-#: A word of 5 to 64 characters with a digit or an at sign.
-IDENTIFIER = rf"(?<![^{_WS}])(?=[^{_WS}]*[0-9@])[^{_WS}]{{5,64}}(?![^{_WS}])"
+#: A word with a digit or an at sign.
+IDENTIFIER = rf"(?<![^{_WS}])(?=[^{_WS}]*[0-9@])[^{_WS}]++"
 
 
 def _found(text: Column, pattern: str, needs: str) -> Column:
@@ -75,9 +77,9 @@ def _valid(kind: Column, m: Column) -> Column:
 
 
 def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One scan of the texts: (id, h, found), found holding (kind, i, gap, left, m) of every raw match.
+    """One scan of the texts: (id, h, found), found holding (kind, i, gap, sep, left, m) of every raw match.
 
-    left holds the last two words, last first, of the text between a word and the one matched before it.
+    sep is the text between a word and the one matched before it if that is spaces and tabs only; left holds the last two words, last first, of the text between a word and the one matched before it.
     """
     t = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     patterns = {**PATTERNS, "word": IDENTIFIER}
@@ -89,13 +91,14 @@ def matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         gap = lambda i: F.element_at(f"p_{k}", i + 1)
         last = lambda i: F.transform(F.slice(F.regexp_extract_all(F.regexp_extract(F.reverse(gap(i)), rf"^[{_WS}]*+(?:[^{_WS}]++[{_WS}]*+){{0,2}}", 0), F.lit(rf"[^{_WS}]++"), F.lit(0)), 1, 2), F.reverse)
         left = last if k == "word" else (lambda i: F.lit(None).cast("array<string>"))
-        return F.transform(f"m_{k}", lambda m, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(gap(i)).alias("gap"), left(i).alias("left"), m.alias("m")))
+        sep = (lambda i: F.when((i > 0) & gap(i).rlike(r"^[\x20\x09]++\z"), gap(i))) if k == "word" else (lambda i: F.lit(None).cast("string"))
+        return F.transform(f"m_{k}", lambda m, i: F.struct(F.lit(k).alias("kind"), i.alias("i"), F.length(gap(i)).alias("gap"), sep(i).alias("sep"), left(i).alias("left"), m.alias("m")))
 
     return t.select("id", "h", F.concat(*[rows(k) for k in patterns]).alias("found"))
 
 
 def placed(found: DataFrame) -> DataFrame:
-    """Raw matches with their code-point spans: (id, h, kind, start, end, pattern, m).
+    """Raw matches with their code-point spans: (id, h, kind, start, end, sep, pattern, m).
 
     pattern is the two words before a word in the text, be they matched words or not.
     """
@@ -109,30 +112,42 @@ def placed(found: DataFrame) -> DataFrame:
     before = F.concat(F.coalesce("left", none), one(back("m", 1)), F.coalesce(back("left", 1), none), one(back("m", 2)))
     pattern = F.when((F.col("kind") == "word") & (F.size(before) >= 2), F.lower(F.concat_ws(" ", F.reverse(F.slice(before, 1, 2)))))
     rows = rows.withColumn("end", end).withColumn("pattern", pattern)
-    return rows.select("id", "h", "kind", (F.col("end") - F.length("m")).alias("start"), "end", "pattern", "m")
+    return rows.select("id", "h", "kind", (F.col("end") - F.length("m")).alias("start"), "end", "sep", "pattern", "m")
 
 
 def induce(spans: DataFrame, words: DataFrame, rounds: int = 3, min_seeds: int = 5, min_conf: float = 0.8, min_score: float = 0.8) -> DataFrame:
     """Spans that high-confidence contexts add: (id, h, kind, start, end).
 
-    spans are the checked base spans, words the placed identifier words.
+    spans are the checked base spans with their text m, words the placed identifier words.
     """
-    trim = r"^[^A-Za-z0-9+]+"
-    lead = F.length("m") - F.length(F.regexp_replace("m", trim, ""))
-    core = F.regexp_replace(F.regexp_replace("m", trim, ""), "[^A-Za-z0-9]+$", "")
-    w = words.select("id", "h", (F.col("start") + lead).alias("start"), core.alias("inst"), "pattern")
-    w = w.where("inst <> ''").withColumn("end", F.col("start") + F.length("inst"))
-    both = w.select("id", "h", "start", "end", "inst", "pattern", F.lit(None).cast("string").alias("kind")).unionByName(
-        spans.select("id", "h", "start", "end", F.lit(None).cast("string").alias("inst"), F.lit(None).cast("string").alias("pattern"), "kind")
-    )
+    none = lambda *cs: [F.lit(None).cast("string").alias(c) for c in cs]
+    both = words.select("id", "h", "start", "end", "sep", "m", "pattern", *none("kind")).unionByName(spans.select("id", "h", "start", "end", "m", "kind", *none("sep", "pattern")))
     part = Window.partitionBy("id", "h")
     base = F.col("kind").isNotNull()
-    before = F.max(F.when(base, F.struct("end", "kind"))).over(part.orderBy("start", F.col("kind").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.min(F.when(base, F.struct("start", "kind"))).over(part.orderBy(F.desc("start"), F.col("kind").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0))
-    seen = both.withColumn("before", before).withColumn("after", after).where("kind is null").select(
-        "id", "h", "start", "end", "inst", "pattern",
-        F.when(F.col("before.end") > F.col("start"), F.col("before.kind")).when(F.col("after.start") < F.col("end"), F.col("after.kind")).alias("seed"),
-    )
+    on = part.orderBy("start", F.col("kind").isNotNull(), F.desc("end"), "kind")
+    so_far = on.rowsBetween(Window.unboundedPreceding, 0)
+    both = both.select(
+        "*",
+        F.last(F.when(~base, F.struct("pattern")), ignorenulls=True).over(so_far)["pattern"].alias("lead"),
+        F.max(F.when(base, F.col("end"))).over(on.rowsBetween(Window.unboundedPreceding, -1)).alias("reach"),
+        F.min(F.when(base, F.col("start"))).over(on.rowsBetween(0, Window.unboundedFollowing)).alias("next"),
+    )
+    both = materialize(both, "pii-both")
+    clear = F.coalesce(F.col("reach") <= F.col("start"), F.lit(True))
+    seeds = both.where(base & clear).select("id", "h", "start", "end", F.col("m").alias("inst"), F.col("lead").alias("pattern"), F.col("kind").alias("seed"))
+    free = both.where(~base & clear & F.coalesce(F.col("next") >= F.col("end"), F.lit(True)))
+    on = part.orderBy("start")
+    joined = F.col("sep").isNotNull() & (F.lag("end").over(on) + F.length("sep") == F.col("start"))
+    free = free.withColumn("new", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
+    free = free.withColumn("run", F.sum("new").over(on.rowsBetween(Window.unboundedPreceding, 0)))
+    item = F.struct("start", F.when(F.col("new") == 0, F.concat("sep", "m")).otherwise(F.col("m")).alias("m"))
+    runs = free.groupBy("id", "h", "run").agg(F.array_sort(F.collect_list(item)).alias("ms"), F.max(F.when(F.col("new") == 1, F.col("pattern"))).alias("pattern"))
+    runs = runs.select("id", "h", F.col("ms")[0]["start"].alias("from"), F.array_join(F.transform("ms", lambda x: x["m"]), "").alias("m"), "pattern")
+    tail = F.regexp_replace("m", r"^[^A-Za-z0-9+]++", "")
+    core = F.reverse(F.regexp_replace(F.reverse(tail), r"^[^A-Za-z0-9]++", ""))
+    runs = runs.select("id", "h", (F.col("from") + F.length("m") - F.length(tail)).alias("start"), core.alias("inst"), "pattern").where("inst <> ''")
+    runs = runs.select("id", "h", "start", (F.col("start") + F.length("inst")).alias("end"), "inst", "pattern", F.lit(None).cast("string").alias("seed"))
+    seen = seeds.unionByName(runs)
     seen = materialize(seen, "pii-words")
     edges = seen.where("pattern <> ''").groupBy("pattern", "inst").agg(F.max("seed").alias("seed"))
     edges = materialize(edges, "pii-edges")
@@ -164,10 +179,10 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     found = materialize(matches(docs, id_col, text_col), "pii-found")
     spots = materialize(placed(found), "pii-placed")
-    spans = spots.where((F.col("kind") != "word") & _valid(F.col("kind"), F.col("m"))).select("id", "h", "kind", "start", "end")
+    spans = spots.where((F.col("kind") != "word") & _valid(F.col("kind"), F.col("m"))).select("id", "h", "kind", "start", "end", "m")
     extra = induce(spans, spots.where("kind = 'word'"), **bootstrap)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.regexp_replace("kind", "^ctx_", "")) + F.when(F.col("kind").startswith("ctx_"), len(KINDS)).otherwise(0)
-    every = spans.withColumn("base", F.lit(True)).unionByName(extra.withColumn("base", F.lit(False)))
+    every = spans.drop("m").withColumn("base", F.lit(True)).unionByName(extra.withColumn("base", F.lit(False)))
     item = F.struct("start", order.alias("order"), "kind", "end")
     per_doc = every.groupBy("id", "h").agg(
         F.array_sort(F.collect_list(F.when(F.col("base"), item))).alias("base"),
