@@ -8,13 +8,13 @@ import re
 import numpy as np
 import pytest
 
-from vectide.llm import exact_dedup, line_dedup, ngram_join, repeats
+from vectide.llm import common, exact_dedup, line_dedup, ngram_join, repeats
 from vectide.llm.common import components
 
 from .helpers import docs, empty, odd_texts, words
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     r = random.Random(5)
     edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(40)] + [(100 + i, 101 + i) for i in range(40)] + [(None, 3)]
     got = {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -30,6 +30,8 @@ def test_components(spark):
             a, b = sorted((find(a), find(b)))
             parent[b] = a
     assert got == {x: min(y for y in parent if find(y) == find(x)) for x in parent}
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert got == {x.node: x.component for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -124,6 +126,8 @@ def test_join(spark, monkeypatch):
     for x in (None, 40):
         if x is not None:
             monkeypatch.setattr(ngram_join, "boundary", lambda *a, x=x, **k: x)
+            monkeypatch.setattr(ngram_join, "SPLIT", 4)  # frequent lists dealt to many tasks
+            monkeypatch.setattr(common, "BROADCAST_BYTES", 0)  # and no side broadcast
         got = {d.doc_id: (d.n_shingles, d.component_id) for d in ngram_join.similar_groups(docs(spark, texts)).collect()}
         assert [got[i] for i in range(len(texts))] == brute_groups(texts)
     assert ngram_join.similar_groups(empty(spark)).count() == 0

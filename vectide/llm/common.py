@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A join side is broadcast only if its measured rows times its row width stay below this.
@@ -15,13 +16,16 @@ BROADCAST_BYTES = 24 * 1024 * 1024
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir.
 
-    Where the setting is absent (tests, local mode) a temporary folder is set.
+    Where the setting is absent in local mode (tests) a temporary folder is set; on a
+    cluster the setting must be there.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext.getCheckpointDir()
         if current:
             return current
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="vectide-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -36,25 +40,56 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/vectide/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
 
 
-def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark df for broadcast if its counted rows fit the limit, else leave the choice to Spark.
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables of which nothing that is still to run depends."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
-    df should be a materialized table, as it is counted.
+
+def fits(df: DataFrame, row_bytes: int | Column, limit: int | None = None) -> bool:
+    """Whether df is within the broadcast bound; row_bytes is a row's size, or a column that measures it.
+
+    df should be a materialized table, as it is read for this.
     """
-    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+    size = df.count() * row_bytes if isinstance(row_bytes, int) else df.agg(F.sum(row_bytes)).first()[0] or 0
+    return size <= (BROADCAST_BYTES if limit is None else limit)
+
+
+def small_side(df: DataFrame, row_bytes: int | Column, limit: int | None = None) -> DataFrame:
+    """Mark df for broadcast if its measured size fits the limit, else leave the choice to Spark."""
+    return F.broadcast(df) if fits(df, row_bytes, limit) else df
+
 
+def unused(name: str, taken: list[str]) -> str:
+    """A column name that begins like name and clashes with none in taken."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, settle: bool = True) -> DataFrame:
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 200, settle: bool = True) -> DataFrame:
     """Connected components of an undirected edge list as (node, component).
 
     component is the smallest node id of the component. Alternates large-star and
-    small-star steps; each is a grouped minimum and a join, so a hub never meets
-    all its neighbours in one task as a collected group. Nodes without edges are
-    not returned. An empty edge list gives an empty result. With settle=False it may stop
-    after max_rounds: equal labels are then connected for certain, different ones may be.
+    small-star steps; each is a grouped minimum, combined before it is shuffled, and a join
+    of the edges with the minima. The minima are broadcast if they fit the measured bound;
+    else they are a written table, so the join's sides are both plain exchanges and Spark
+    splits the edges of a hub over tasks. Nodes without edges are not returned. An empty
+    edge list gives an empty result. Rounds grow with the logarithm of the edges. With
+    settle=False it may stop after max_rounds: equal labels are then connected for certain,
+    different ones may be.
     """
     e = (
         edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
@@ -63,21 +98,29 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         .distinct()
     )
     e = materialize(e, "edges")
+    small = fits(e, 48)
+
+    def minima(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if small else materialize(df, "minima")
+
     last = None
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = minima(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.where("u <> v").distinct()
-        low2 = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
+        down = down if small else materialize(down, "edges")
+        low2 = minima(down.groupBy("u").agg(F.min("v").alias("m")))
+        step = (
             down.join(low2, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(low2.select("u", F.col("m").alias("v")))
             .where("u <> v")
             .distinct()
         )
-        e = materialize(small, "edges")
+        new = materialize(step, "edges")
+        discard(e, *([] if small else [low, low2, down]))
+        e = new
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == last:
             break

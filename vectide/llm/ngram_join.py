@@ -6,8 +6,9 @@ fewer words the whole sequence as one. Two texts link when the Jaccard similarit
 their sets is at least num / den; a component is what links connect.
 
 Method. Texts with equal sets fold into one class first. A global token order puts
-frequent shingles last (frequencies are counted over all rows; the order alone depends on
-them, never the result). For sets of at most x tokens (small) all 2-subsets of a prefix
+frequent shingles last (all tokens of all rows are counted, equal sets within a task
+once; the HEAVY_MOST most frequent are told apart; the order alone depends on them, never
+the result). For sets of at most x tokens (small) all 2-subsets of a prefix
 are enumerated and equal subsets meet; sets above x (large) scan inverted lists of their
 prefix tokens, in which small sets stand too if they can match a large one. Prefix
 lengths follow from the similarity bound, so no linked pair is missed. The boundary x is
@@ -15,12 +16,13 @@ the cheapest under a cost model fed with the counted sizes and list lengths.
 
 Lists of up to LIGHT members yield their pairs, if enough of both sets lies behind the
 token's places for it to be the first common one. A longer list yields each member with
-the list's first only, or with its neighbour where the first is too small; links found that way nearly always join
-the list in one component, and then its other pairs cannot change the result. Lists that
-still span several components yield all pairs across components (exact, and empty for
-groups of copies). Pairs are checked by a bitmap bound that never rejects a link, then
-by the exact intersection; first one partner a text, then what still lies across
-components.
+the list's first only, or with its neighbour where the first is too small; links found
+that way nearly always join the list in one component, and then its other pairs cannot
+change the result. The list of a token that occurs more than SPLIT times is dealt to
+several tasks, and the firsts of its parts meet. Lists that still span several components
+yield the pairs of nearby sizes across components (exact, and empty for groups of copies).
+Pairs are checked by a bitmap bound that never rejects a link, then by the exact
+intersection; first one partner a text, then what still lies across components.
 
 Nothing of a text but its prefix hashes is shuffled before pairs exist; sets move only
 for texts in candidate pairs.
@@ -32,20 +34,26 @@ each get a row; an empty table gives no rows; further columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import components, materialize, small_side
+from vectide.llm.common import components, discard, materialize, small_side
 
 LIGHT = 12
 HEAVY_LEAST = 10
-#: Most tokens held in the frequency order; the others count as rare. Affects speed alone.
+#: Most tokens held in the frequency order, the most frequent; the others count as rare. Bounds a broadcast, affects speed alone.
 HEAVY_MOST = 1 << 18
+#: Leading bits of a token that the frequency order tells apart.
+HEAD = 42
+#: Lists of more frequent tokens than this are dealt to several tasks.
+SPLIT = 4096
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -144,52 +152,109 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("t"))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], words: int, step: int = 2000):
-    """(ids, sets) of some rows at a time."""
+def lots(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about limit bytes of text each, so memory follows the limit and not the batch."""
     for batch in batches:
-        for a in range(0, batch.num_rows, step):
-            part = batch.slice(a, step)
-            yield part.column(0).to_numpy(zero_copy_only=False), shingle_sets(part.column(1).to_pylist(), words)
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        cuts = np.flatnonzero(np.diff(ends // limit, prepend=0, append=-1)) if len(ends) > 1 else np.zeros(0, int)
+        cuts = np.unique(np.concatenate([[0], cuts, [batch.num_rows]]))
+        for lo, hi in zip(cuts, cuts[1:]):
+            yield batch.slice(int(lo), int(hi - lo))
+
+
+def _batches(batches: Iterator[pa.RecordBatch], words: int):
+    """(ids, sets) of some rows at a time."""
+    for part in lots(batches):
+        yield part.column(0).to_numpy(zero_copy_only=False), shingle_sets(part.column(1).to_pylist(), words)
 
 
 def _signature(s: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(s.tobytes())
 
 
-def _statistics(texts: DataFrame, words: int) -> tuple[np.ndarray, dict[int, int], float]:
-    """(frequent tokens by rising count, texts by set size, mean list length) over all rows."""
+def _statistics(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, dict[int, int], float]:
+    """(token heads by rising count, their counts, texts by set size, mean list length) over all rows.
 
-    def count(batches):
-        held, size, seen, sizes = [], 0, set(), []
+    A token's head is its upper HEAD bits. Tasks send the heads of all their tokens, sorted
+    and packed by leading bits, equal sets within a task once; a second stage counts them.
+    """
+    bits = max(10, (8 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))).bit_length())
+
+    def pack(batches):
+        held, size, seen, sizes = [], 0, set(), Counter()
 
         def flush():
-            tok, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, int))
-            often = n >= 2
-            k, c = np.unique(np.array(sizes, np.int64), return_counts=True)
-            kind = np.concatenate([np.zeros(often.sum(), np.int32), np.ones(len(k), np.int32), np.array([2, 3], np.int32)])
-            key = np.concatenate([tok[often].view(np.int64), k, np.zeros(2, np.int64)])
-            val = np.concatenate([n[often], c, [int((n * n).sum()), int(n.sum())]]).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key), pa.array(val)], names=["kind", "key", "n"])
+            tok = np.sort(np.concatenate(held))
+            group = (tok >> np.uint64(64 - bits)).astype(np.int64)
+            low = ((tok << np.uint64(bits)) >> np.uint64(64 + bits - HEAD)).astype("<u4")
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            ends = np.append(first[1:], len(tok))
+            return pa.RecordBatch.from_arrays(
+                [pa.array(group[first], pa.int32()), pa.array([low[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.nulls(len(first), pa.int64())], names=["part", "heads", "n"]
+            )
 
         for _, sets in _batches(batches, words):
             for s in sets:
-                if len(s) and (sig := _signature(s)) not in seen:
+                if len(s) and (sig := _signature(s)[:8]) not in seen:
                     seen.add(sig)
                     held.append(s)
-                    sizes.append(len(s))
+                    sizes[len(s)] += 1
                     size += len(s)
-            if size > 1 << 22:
+            if size > 1 << 20:
                 yield flush()
-                held, size, seen, sizes = [], 0, set(), []
+                held, size = [], 0
         if held:
             yield flush()
+        if sizes:
+            few = {n: c for n, c in sizes.items() if n <= 64}
+            yield pa.RecordBatch.from_arrays([pa.array([-n for n in few], pa.int32()), pa.nulls(len(few), pa.binary()), pa.array(few.values(), pa.int64())], names=["part", "heads", "n"])
 
-    got = materialize(texts.mapInArrow(count, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "join-counts")
-    often = got.where((F.col("kind") == 0) & (F.col("n") >= HEAVY_LEAST)).orderBy(F.desc("n"), "key").limit(HEAVY_MOST).select("key").toArrow()
-    heavy = often.column(0).to_numpy()[::-1].astype(np.int64).view(np.uint64)
-    sizes = {r.key: r.n for r in got.where((F.col("kind") == 1) & (F.col("key") <= 64)).collect()}
-    total = {r.kind: r.n for r in got.where("kind >= 2").collect()}
-    return heavy, sizes, total.get(2, 0) / max(1, total.get(3, 0))
+    def count(batches):
+        held, now, sizes = [], None, Counter()
+        every = squares = 0
+
+        def close():
+            nonlocal every, squares
+            low, n = np.unique(np.concatenate(held), return_counts=True)
+            every, squares = every + int(n.sum()), squares + int((n * n).sum())
+            often = n >= HEAVY_LEAST
+            head = np.int64(now) << np.int64(HEAD - bits) | low[often].astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(head), np.int32)), pa.array(head), pa.array(n[often])], names=["kind", "key", "n"])
+
+        for batch in batches:
+            for part, heads, n in zip(*[batch.column(c) for c in range(3)]):
+                part = part.as_py()
+                if part < 0:
+                    sizes[-part] += n.as_py()
+                    continue
+                if part != now:
+                    if held:
+                        yield close()
+                    held, now = [], part
+                held.append(np.frombuffer(heads.as_buffer(), "<u4"))
+        if held:
+            yield close()
+        rest = [(1, n, c) for n, c in sizes.items()] + [(2, 0, squares), (3, 0, every)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rest), (pa.int32(), pa.int64(), pa.int64()))], names=["kind", "key", "n"])
+
+    packed = texts.mapInArrow(pack, "part int, heads binary, n long")
+    got = materialize(packed.repartition("part").sortWithinPartitions("part").mapInArrow(count, "kind int, key long, n long"), "join-counts")
+    level = F.floor(F.log2("n") * 8)
+    held, least = 0, None
+    for r in got.where("kind = 0").groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        held += r["count"]
+        if held > HEAVY_MOST:
+            break
+        least = r["level"]
+    often = got.where((F.col("kind") == 0) & (level >= least) if least is not None else F.lit(False)).select("key", "n").toArrow()
+    head, n = (often.column(c).to_numpy().astype(np.int64) for c in range(2))
+    order = np.lexsort((head, n))
+    sizes = {r.key: r.n for r in got.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect()}
+    total = {r.kind: r.n for r in got.where("kind >= 2").groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    discard(got)
+    return head[order].view(np.uint64), n[order], sizes, (total.get(2) or 0) / max(1, total.get(3) or 0)
 
 
 class Bounds:
@@ -219,32 +284,45 @@ def boundary(sizes: dict[int, int], mean_list: float, bounds: Bounds, most: int
     return x
 
 
-def _keys(texts: DataFrame, words: int, heavy: np.ndarray, x: int, bounds: Bounds) -> DataFrame:
-    """(id, n, sig, keys): keys holds (key, flags); flag 1: in the index prefix, 2: small set, 4: a subset; above these bits a token's place in the set's order."""
+def _keys(texts: DataFrame, words: int, heavy: np.ndarray, counts: np.ndarray, x: int, bounds: Bounds) -> DataFrame:
+    """(id, n, sig, keys): keys holds (key, flags, salt).
+
+    Flags are 1: in the index prefix, 2: small set, 4: a subset; above these bits a token's
+    place in the set's order. salt is 0, or from 1 on which part of a frequent key's list
+    the text is dealt to.
+    """
     order = np.argsort(heavy, kind="stable")
-    shared = texts.sparkSession.sparkContext.broadcast((heavy[order], order))
+    parts = np.where(counts > SPLIT, np.minimum(-(-counts // SPLIT), 1 << 20), 0).astype(np.int32)
+    shared = texts.sparkSession.sparkContext.broadcast((heavy[order], order.astype(np.int32), parts[order]))
 
     def run(batches):
-        known, rank = shared.value
+        known, rank, deal = shared.value
         for ids, sets in _batches(batches, words):
-            sig, sizes, keys, flags, lens = [], [], [], [], []
-            for s in sets:
+            sig, sizes, keys, flags, salts, lens = [], [], [], [], [], []
+            for ident, s in zip(ids.tolist(), sets):
                 n = len(s)
                 sizes.append(n)
                 sig.append(_signature(s) if n else None)
                 if not n:
                     lens.append(0)
                     continue
+                pi, pp = bounds.index(n), bounds.probe(n)
+                often, spread = None, None
                 if len(known):
-                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
-                    often = known[at] == s
+                    head = s >> np.uint64(64 - HEAD)
+                    at = np.minimum(np.searchsorted(known, head), len(known) - 1)
+                    often = known[at] == head
                     if often.any():
-                        s = np.concatenate([s[~often], s[often][np.argsort(rank[at[often]], kind="stable")]])
-                pi, pp = bounds.index(n), bounds.probe(n)
+                        o = np.argsort(rank[at[often]], kind="stable")
+                        rare = int(n - often.sum())
+                        if rare < pp + 1:
+                            spread = np.concatenate([np.zeros(rare, np.int32), deal[at[often][o]]])
+                        s = np.concatenate([s[~often], s[often][o]])
                 if n > x:
                     k = s[:pp]
                     at = np.arange(len(k), dtype=np.int32)
                     f = (at < pi) | (at << 3)
+                    d = spread[: len(k)] if spread is not None else None
                 else:
                     p = s[: min(n, pp + 1)]
                     i, j = np.triu_indices(len(p), 1)
@@ -252,70 +330,89 @@ def _keys(texts: DataFrame, words: int, heavy: np.ndarray, x: int, bounds: Bound
                         lo, hi = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
                         k = _mix(lo * _K[11] + hi * _K[12])
                     f = (j < pi + 1).astype(np.int32) | 6
+                    d = np.minimum(spread[i], spread[j]) if spread is not None else None
                     if bounds.den * n >= bounds.num * (x + 1):
                         k, f = np.concatenate([k, s[:pi]]), np.concatenate([f, 3 | (np.arange(pi, dtype=np.int32) << 3)])
+                        d = np.concatenate([d, spread[:pi]]) if d is not None else None
                 keys.append(k)
                 flags.append(f)
                 lens.append(len(k))
+                if d is None:
+                    salts.append(np.zeros(len(k), np.int32))
+                else:
+                    own = int(_mix(np.array([ident], np.int64).view(np.uint64))[0] >> np.uint64(33))
+                    salts.append(np.where(d > 0, own % np.maximum(d, 1) + 1, 0).astype(np.int32))
             offsets = np.zeros(len(sets) + 1, np.int32)
             np.cumsum(lens, out=offsets[1:])
             k = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
             f = np.concatenate(flags).astype(np.int32) if flags else np.zeros(0, np.int32)
-            items = pa.StructArray.from_arrays([pa.array(k), pa.array(f)], names=["key", "flags"])
+            d = np.concatenate(salts) if salts else np.zeros(0, np.int32)
+            items = pa.StructArray.from_arrays([pa.array(k), pa.array(f), pa.array(d)], names=["key", "flags", "salt"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["id", "n", "sig", "keys"]
             )
 
-    return texts.mapInArrow(run, "id long, n int, sig binary, keys array<struct<key:bigint,flags:int>>")
+    return texts.mapInArrow(run, "id long, n int, sig binary, keys array<struct<key:bigint,flags:int,salt:int>>")
 
 
 def _fits(n1, n2, f1, f2, num: int, den: int):
-    """Whether members (shorter first) of one list can be a candidate pair with this as their first common token."""
-    rest = np.minimum(n1 - (f1 >> 3), n2 - (f2 >> 3))
-    return (den * n1 >= num * n2) & ((num + den) * rest >= num * (n1 + n2)) & ((f1 & 1) == 1) & (((f1 & f2 & 2) == 0) | ((f1 & 4) == 4))
+    """Whether members (shorter first) of one list can be a candidate pair with this as their first common token.
+
+    Takes arrays or columns.
+    """
+    if isinstance(f1, Column):
+        both, least, place = lambda x, y: x.bitwiseAND(y), F.least, lambda f: F.shiftright(f, 3)
+    else:
+        both, least, place = lambda x, y: x & y, np.minimum, lambda f: f >> 3
+    one, two, four = (F.lit(1), F.lit(2), F.lit(4)) if isinstance(f1, Column) else (1, 2, 4)
+    rest = least(n1 - place(f1), n2 - place(f2))
+    return (n1 * den >= n2 * num) & (rest * (num + den) >= (n1 + n2) * num) & (both(f1, one) == 1) & ((both(both(f1, f2), two) == 0) | (both(f1, four) == 4))
 
 
 def _scan(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Scan lists sorted by (key, n, id): rows (key, a, b, n, flags).
+    """Scan lists sorted by (key, salt, n, id): rows (key, a, b, n, flags, salt).
 
-    With b the candidate pair a, b (shorter first); without, a member of a long list.
+    With b the candidate pair a, b (shorter first); without, a member of a long list. The
+    parts of a list that is dealt to several tasks are long whatever their length.
     """
 
-    def emit(key, a, b, n, f):
-        return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(a, pa.int64()), b, pa.array(n, pa.int32()), pa.array(f, pa.int32())], names=["key", "a", "b", "n", "flags"])
+    def emit(key, a, b, n, f, salt):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key, pa.int64()), pa.array(a, pa.int64()), b, pa.array(n, pa.int32()), pa.array(f, pa.int32()), pa.array(salt, pa.int32())], names=["key", "a", "b", "n", "flags", "salt"]
+        )
 
     def scan(batches):
         tail, big = None, None
         it = iter(batches)
         while True:
             batch = next(it, None)
-            cur = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(4)] if batch is not None else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]
+            cur = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(5)] if batch is not None else [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32)]
             if tail is not None:
                 cur, tail = [np.concatenate(x) for x in zip(tail, cur)], None
-            key, ident, n, f = cur
+            key, ident, n, f, salt = cur
             if not len(key):
                 if batch is None:
                     return
                 continue
-            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])))
             size = np.diff(np.append(starts, len(key)))
-            going = big is not None and key[0] == big[0]
+            going = big is not None and (key[0], salt[0]) == big[0]
             if not going:
                 big = None
             if batch is not None and size[-1] <= LIGHT and not (going and len(starts) == 1):
                 tail = [c[starts[-1] :] for c in cur]
-                key, ident, n, f = (c[: starts[-1]] for c in cur)
+                key, ident, n, f, salt = (c[: starts[-1]] for c in cur)
                 starts, size = starts[:-1], size[:-1]
             if not len(key):
                 continue
-            long = size > LIGHT
+            long = (size > LIGHT) | (salt[starts] > 0)
             if going:
                 long[0] = True
             group = np.repeat(np.arange(len(starts)), size)
             lone = ~long[group]
             pairs = []
             for d in range(1, LIGHT):
-                i = np.flatnonzero((key[d:] == key[:-d]) & lone[:-d]) if len(key) > d else np.zeros(0, int)
+                i = np.flatnonzero((key[d:] == key[:-d]) & (salt[d:] == salt[:-d]) & lone[:-d]) if len(key) > d else np.zeros(0, int)
                 if not len(i):
                     break
                 i = i[_fits(n[i], n[i + d], f[i], f[i + d], num, den)]
@@ -333,19 +430,19 @@ def _scan(rows: DataFrame, num: int, den: int) -> DataFrame:
                 q = q[~ok]
                 ok = _fits(n_[q - 1], n_[q], f_[q - 1], f_[q], num, den)
                 pairs.append((i_[q - 1][ok], i_[q][ok]))
-                yield emit(key[m], ident[m], pa.nulls(len(m), pa.int64()), n[m], f[m])
+                yield emit(key[m], ident[m], pa.nulls(len(m), pa.int64()), n[m], f[m], salt[m])
                 if g == len(starts) - 1 and batch is not None and tail is None:
-                    big = (key[m[-1]], (i_[0], n_[0], f_[0]), (i_[-1], n_[-1], f_[-1]))
+                    big = ((key[m[-1]], salt[m[-1]]), (i_[0], n_[0], f_[0]), (i_[-1], n_[-1], f_[-1]))
             if pairs:
                 ab = np.unique(np.stack([np.concatenate(x) for x in zip(*pairs)], 1), axis=0)
                 ab = ab[ab[:, 0] != ab[:, 1]]
                 if len(ab):
                     zero = np.zeros(len(ab), np.int64)
-                    yield emit(zero, ab[:, 0], pa.array(ab[:, 1], pa.int64()), zero, zero)
+                    yield emit(zero, ab[:, 0], pa.array(ab[:, 1], pa.int64()), zero, zero, zero)
             if batch is None:
                 return
 
-    return rows.mapInArrow(scan, "key long, a long, b long, n int, flags int")
+    return rows.mapInArrow(scan, "key long, a long, b long, n int, flags int, salt int")
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
@@ -360,7 +457,7 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
 
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     def run(batches):
-        for ids, sets in _batches(batches, words, 500):
+        for ids, sets in _batches(batches, words):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(ids, pa.int64()),
@@ -420,18 +517,25 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per row of docs: id, n_shingles, class_id (smallest id of an equal set), component_id."""
     bounds = Bounds(num, den)
     texts = _texts(docs, id_col, text_col)
-    heavy, sizes, mean_list = _statistics(texts, words)
+    heavy, counts, sizes, mean_list = _statistics(texts, words)
     x = boundary(sizes, mean_list, bounds)
-    table = materialize(_keys(texts, words, heavy, x, bounds), "join-keys")
-    slim = table.select("id", "n", "sig")
-    classes = materialize(slim.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1"), "join-classes")
-    repeats = materialize(slim.where("n > 0").join(small_side(classes.select("sig", "rep"), 40), "sig").where("id <> rep").select("id", "rep"), "join-repeats")
-    reps = table.where("n > 0").join(small_side(repeats.select("id").distinct(), 16), "id", "left_anti")
-    rows = reps.select("id", "n", F.explode("keys").alias("k")).select("k.key", "id", "n", "k.flags")
-    got = materialize(_scan(rows.repartition("key").sortWithinPartitions("key", "n", "id"), num, den), "join-scan")
-    pairs = got.where("b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = materialize(pairs, "join-pairs")
-    lists = got.where("b is null").select("key", F.col("a").alias("id"), "n", "flags")
+    table = materialize(_keys(texts, words, heavy, counts, x, bounds), "join-keys")
+    classes = materialize(table.where("n > 0").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1"), "join-classes")
+    slim = table.select("id", "n", "sig").join(small_side(classes.select("sig", "rep"), 40), "sig", "left")
+    slim = materialize(slim.select("id", "n", F.coalesce("rep", "id").alias("rep")), "join-slim")
+    first_of = table.where("n > 0").join(small_side(classes.select("sig", F.col("rep")), 40), "sig", "left")
+    reps = first_of.where(F.col("rep").isNull() | (F.col("rep") == F.col("id"))).select("id", "n", "keys")
+    rows = reps.select("id", "n", F.explode("keys").alias("k")).select("k.key", "id", "n", "k.flags", "k.salt")
+    got = materialize(_scan(rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "id"), num, den), "join-scan")
+    discard(table, classes)
+    lists = got.where("b is null").select("key", F.col("a").alias("id"), "n", "flags", "salt")
+    pairs = got.where("b is not null").select("a", "b")
+    head = F.min(F.struct("n", "id", "flags"))
+    heads = lists.where("salt > 0").groupBy("key", "salt").agg(head.alias("own"))
+    lead = heads.groupBy("key").agg(F.min("own").alias("top"))
+    met = heads.join(lead, "key").where("top <> own").where(_fits(F.col("top.n"), F.col("own.n"), F.col("top.flags"), F.col("own.flags"), num, den))
+    pairs = pairs.unionByName(met.select(F.col("top.id").alias("a"), F.col("own.id").alias("b")))
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(lists.select("id")).distinct()
     wanted = materialize(wanted, "join-wanted")
     sets = materialize(_sets(texts.join(small_side(wanted, 16), "id", "left_semi"), words), "join-sets")
@@ -442,24 +546,22 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = _labelled(maybe.join(first, ["a", "b"], "left_anti"), comp)
     links = links.unionByName(materialize(_links(rest, sets, num, den), "join-links"))
     comp = materialize(components(links), "join-comp")
-    member = lists.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    member = lists.join(small_side(comp.select(F.col("node").alias("id"), "component"), 40), "id", "left").withColumn("component", F.coalesce("component", "id"))
     member = materialize(member, "join-lists")
-    split = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = materialize(member.join(split, "key", "left_semi"), "join-split")
-    l1 = left.select("key", F.col("id").alias("i1"), F.col("n").alias("n1"), F.col("flags").alias("f1"), F.col("component").alias("c1"))
-    l2 = left.select("key", F.col("id").alias("i2"), F.col("n").alias("n2"), F.col("flags").alias("f2"), F.col("component").alias("c2"))
-    across = l1.join(l2, "key").where(
-        (F.col("c1") != F.col("c2")) & (F.struct("n1", "i1") < F.struct("n2", "i2")) & (F.col("n1") * den >= F.col("n2") * num)
-        & (F.least(F.col("n1") - F.shiftright("f1", 3), F.col("n2") - F.shiftright("f2", 3)) * (num + den) >= (F.col("n1") + F.col("n2")) * num)
-        & (F.col("f1").bitwiseAND(1) == 1) & ((F.col("f1").bitwiseAND(F.col("f2")).bitwiseAND(2) == 0) | (F.col("f1").bitwiseAND(4) == 4))
-    )
+    split = materialize(member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "join-open")
+    left = materialize(member.join(small_side(split, 24), "key", "left_semi"), "join-split")
+    discard(got, member, split, wanted)
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
+    l1 = left.select("key", F.col("id").alias("i1"), F.col("n").alias("n1"), F.col("flags").alias("f1"), F.col("component").alias("c1"), F.explode(F.array(band, band + 1, band + 2)).alias("band"))
+    l2 = left.select("key", F.col("id").alias("i2"), F.col("n").alias("n2"), F.col("flags").alias("f2"), F.col("component").alias("c2"), band.alias("band"))
+    across = l1.join(l2, ["key", "band"]).where((F.col("c1") != F.col("c2")) & (F.struct("n1", "i1") < F.struct("n2", "i2")) & _fits(F.col("n1"), F.col("n2"), F.col("f1"), F.col("f2"), num, den))
     across = across.select(F.least("i1", "i2").alias("a"), F.greatest("i1", "i2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     across = materialize(_possible(across, sets, num, den), "join-across")
     late = materialize(_links(across, sets, num, den), "join-links")
+    discard(left, across, sets, pairs, maybe)
     if late.head(1):
         comp = materialize(components(links.unionByName(late)), "join-comp")
-    folded = slim.join(repeats.distinct(), "id", "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
-    out = folded.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    out = slim.join(small_side(comp.select(F.col("node").alias("rep"), "component"), 40), "rep", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
 
 
