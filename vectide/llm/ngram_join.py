@@ -505,12 +505,32 @@ def _links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return both.where(_linked(inter, "na", "nb", num, den)).select("a", "b")
 
 
-def _labelled(pairs: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs whose ends lie in different components."""
-    ca = comp.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    cb = comp.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    both = pairs.join(ca, "a", "left").join(cb, "b", "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+def _mapped(df: DataFrame, col: str, maps: list[DataFrame]) -> DataFrame:
+    """df with col taken through maps (node, component) one after the other; what a map lacks stays."""
+    for m in maps:
+        side = small_side(m.select(F.col("node").alias("_node"), F.col("component").alias("_to")), 40)
+        df = df.join(side, F.col(col) == F.col("_node"), "left").withColumn(col, F.coalesce("_to", col)).drop("_node", "_to")
+    return df
+
+
+def _across(pairs: DataFrame, maps: list[DataFrame]) -> DataFrame:
+    """Pairs whose ends lie in different components, with the components as ca and cb."""
+    both = pairs.withColumns({"ca": F.col("a"), "cb": F.col("b")})
+    return _mapped(_mapped(both, "ca", maps), "cb", maps).where("ca <> cb")
+
+
+def _forest(first: DataFrame) -> DataFrame:
+    """Components (node, component) of links (a, b) with a < b and one link a b.
+
+    A text that is no other's partner only takes its partner's label, so rounds run over
+    the others alone; of a group around one text nothing is left for them.
+    """
+    parents = materialize(first.select("a").distinct(), "join-parents")
+    inner = first.join(small_side(parents.withColumnRenamed("a", "b"), 16), "b", "left_semi")
+    core = materialize(components(inner), "join-core")
+    tops = _mapped(parents.select(F.col("a").alias("node"), F.col("a").alias("component")), "component", [core])
+    below = _mapped(first.select(F.col("b").alias("node"), F.col("a").alias("component")), "component", [core])
+    return materialize(tops.unionByName(below).distinct(), "join-comp")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 75, den: int = 100) -> DataFrame:
@@ -542,12 +562,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     maybe = materialize(_possible(pairs, sets, num, den), "join-possible")
     first = maybe.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = materialize(_links(first, sets, num, den), "join-links")
-    comp = materialize(components(links, max_rounds=2, settle=False), "join-comp")
-    rest = _labelled(maybe.join(first, ["a", "b"], "left_anti"), comp)
-    links = links.unionByName(materialize(_links(rest, sets, num, den), "join-links"))
-    comp = materialize(components(links), "join-comp")
-    member = lists.join(small_side(comp.select(F.col("node").alias("id"), "component"), 40), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    member = materialize(member, "join-lists")
+    maps = [_forest(links)]
+    rest = _across(maybe.join(first, ["a", "b"], "left_anti"), maps).select("a", "b")
+    more = materialize(_links(rest, sets, num, den), "join-links")
+    maps.append(materialize(components(_across(more, maps), "ca", "cb"), "join-comp"))
+    member = materialize(_mapped(lists.withColumn("component", F.col("id")), "component", maps), "join-lists")
     split = materialize(member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "join-open")
     left = materialize(member.join(small_side(split, 24), "key", "left_semi"), "join-split")
     discard(got, member, split, wanted)
@@ -559,10 +578,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     across = materialize(_possible(across, sets, num, den), "join-across")
     late = materialize(_links(across, sets, num, den), "join-links")
     discard(left, across, sets, pairs, maybe)
-    if late.head(1):
-        comp = materialize(components(links.unionByName(late)), "join-comp")
-    out = slim.join(small_side(comp.select(F.col("node").alias("rep"), "component"), 40), "rep", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("component", "rep").alias("component_id"))
+    maps.append(materialize(components(_across(late, maps), "ca", "cb"), "join-comp"))
+    out = _mapped(slim.withColumn("component", F.col("rep")), "component", maps)
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.col("component").alias("component_id"))
 
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
