@@ -162,28 +162,38 @@ def brute_repeats(texts, length=400):
     return out
 
 
+def brute_passages(texts, n=50):
+    rows = [[w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w] for t in texts]
+    places = {}
+    for d, w in enumerate(rows):
+        for i in range(len(w) - n + 1):
+            places.setdefault(tuple(w[i : i + n]), set()).add(d)
+    return [any(len(places[tuple(w[i : i + n])]) > 1 for i in range(len(w) - n + 1)) for w in rows]
+
+
 def repeat_texts():
     r = random.Random(3)
     passage = words(150, 11)
     texts = [words(60, 200 + i) + " " + passage[r.randint(0, 80) : r.randint(500, len(passage))] + " " + words(60, 300 + i) for i in range(25)]
+    short = " ".join(words(80, 13).split()[:50])  # under 400 bytes
+    texts += [words(30, 400) + " " + short + "\n" + words(30, 401), words(9, 402) + "\t" + short, words(30, 403) + " " + short[:-1], short.replace(" ", "  ", 2) + " " + words(30, 404)]
     return texts + [passage, passage * 2, "y" * 900, "ab" * 500, words(500, 12), words(500, 12)[3:], None, "", "short", "é" * 300]
 
 
-def result(df):
-    return {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in df.collect()}
-
-
 def test_repeats(spark, monkeypatch):
     texts = repeat_texts()
     want = brute_repeats(texts)
-    got = result(repeats.remove_repeats(docs(spark, texts)))
-    assert [got[i] for i in range(len(texts))] == want
-    monkeypatch.setattr(repeats, "TREE_MOST", 2)
-    got = result(repeats.remove_repeats(docs(spark, texts)))
-    assert [got[i] for i in range(len(texts))] == want
-    monkeypatch.setattr(repeats, "_PIECE", 1 << 10)
-    got = result(repeats.remove_repeats(docs(spark, texts)))
-    assert [got[i] for i in range(len(texts))] == want
+    shared = brute_passages(texts)
+    assert 20 < sum(shared) < len(texts)
+    for most, piece, limit in ((50_000, 1 << 19, 24 << 20), (2, 1 << 10, 0)):
+        monkeypatch.setattr(repeats, "TREE_MOST", most)
+        monkeypatch.setattr(repeats, "_PIECE", piece)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", limit)
+        rows = repeats.remove_repeats(docs(spark, texts)).collect()
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in rows}
+        assert [got[i] for i in range(len(texts))] == want
+        got = {x.doc_id: x.passage_words for x in rows}
+        assert [got[i] >= 50 for i in range(len(texts))] == shared and {got[i] for i in range(len(texts)) if not shared[i]} == {0}
     assert repeats.remove_repeats(empty(spark)).count() == 0
 
 
