@@ -66,6 +66,25 @@ def small_side(df: DataFrame, row_bytes: int | Column, limit: int | None = None)
     return F.broadcast(df) if fits(df, row_bytes, limit) else df
 
 
+def maybe_in(df: DataFrame, col: str, ids: DataFrame, yes: bool = True) -> DataFrame:
+    """Rows of df whose col may be among the ids (all that are, and some others), or with yes=False the rest.
+
+    ids is a materialized table of one column. What is broadcast is a bitmap of 16 to 32
+    bits an id, 16 MB at most: with more than 8 million ids the share of others, else one
+    in 16 or less, grows, and nothing else changes.
+    """
+    bits = min(27, max(15, (16 * ids.count()).bit_length()))
+    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c.cast("long")), 64 - bits) + 1
+    x = slot(F.col(ids.columns[0]))
+    maps = ids.groupBy(F.bitmap_bucket_number(x).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(x)).alias("_map"))
+    maps = materialize(maps, "bitmap")
+    x = slot(F.col(col))
+    at = F.bitmap_bit_position(x)
+    byte = F.conv(F.hex(F.substring(F.col("_map"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce((byte / F.pow(F.lit(2), at % 8)).cast("int") % 2 == 1, F.lit(False))
+    return df.join(F.broadcast(maps), F.bitmap_bucket_number(x) == F.col("_bucket"), "left").where(hit if yes else ~hit).drop("_bucket", "_map")
+
+
 def unused(name: str, taken: list[str]) -> str:
     """A column name that begins like name and clashes with none in taken."""
     low = {c.lower() for c in taken}

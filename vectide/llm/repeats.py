@@ -23,7 +23,7 @@ extension e with e + d >= length is a group whose members are covered from e bef
 anchor to d behind it. A run whose members all agree in one more unit on the right is not
 maximal and is left to the deeper interval. A context lies in at most length - gram + 1
 intervals that are deep enough, so the work of a task is linear in its contexts but for
-the sorting.
+the sorting. Only texts that hold a repeat move to be cut.
 
 A k-gram with more than TREE_MOST classes (a passage inside very many different texts)
 is not collected in a task: the windows of its contexts are hashed and counted instead,
@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import discard, fits, materialize, small_side
+from vectide.llm.common import discard, materialize, maybe_in
 from vectide.llm.ngram_join import _long_words, _mix, _Powers, _word_hashes, lots
 
 GRAM = 160
@@ -241,25 +241,32 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((d, left))
 
 
-def _tree(rights: list[bytes], lefts: list[bytes], length: int, unit: int = 1):
-    """Intervals of the right parts as (depth, first, last, members by left part, their neighbours' common left parts).
-
-    Only intervals with a pair of members that agree in length or more units.
-    """
-    order = sorted(range(len(rights)), key=rights.__getitem__)
-    by_left = {m: i for i, m in enumerate(sorted(range(len(lefts)), key=lefts.__getitem__))}
-    lcp = [common_prefix(rights[a], rights[b]) // unit for a, b in zip(order, order[1:])]
-    most = max(map(len, lefts)) // unit
-    for depth, first, last in intervals(lcp):
-        if depth + most < length:
-            continue
-        members = sorted(order[first : last + 1], key=by_left.__getitem__)
-        near = [common_prefix(lefts[a], lefts[b]) // unit for a, b in zip(members, members[1:])]
-        if depth + max(near) >= length:
-            yield depth, members, near
-
-
-def repeat_groups(rights: list[bytes], lefts: list[bytes], length: int, unit: int = 1) -> Iterator[tuple[int, int, list[int]]]:
+class _Lcp:
+    """Ranks of strings in sorted order and the common prefixes of neighbours, with least values of ranges."""
+
+    def __init__(self, strings: list[bytes], unit: int):
+        self.order = np.array(sorted(range(len(strings)), key=strings.__getitem__))
+        self.rank = np.empty(len(strings), np.int64)
+        self.rank[self.order] = np.arange(len(strings))
+        at = self.order.tolist()
+        self.near = np.array([common_prefix(strings[a], strings[b]) // unit for a, b in zip(at, at[1:])], np.int32)
+        self.levels = [self.near]
+        while 1 << len(self.levels) < len(strings):
+            last, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(np.minimum(last[: len(last) - half], last[half:]))
+
+    def between(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Common prefixes of the strings of rank lo and hi > lo."""
+        level = np.frexp((hi - lo).astype(float))[1] - 1
+        out = np.empty(len(lo), np.int32)
+        for k in range(int(level.max()) + 1 if len(level) else 0):
+            m = level == k
+            if m.any():
+                out[m] = np.minimum(self.levels[k][lo[m]], self.levels[k][hi[m] - (1 << k)])
+        return out
+
+
+def repeat_groups(rights: list[bytes], lefts: list[bytes], length: int, unit: int = 1) -> Iterator[tuple[int, int, np.ndarray]]:
     """Groups (left extension, depth, members) of contexts around equal anchors.
 
     rights are the units from the anchor on, lefts the units before it, reversed. Members
@@ -268,13 +275,27 @@ def repeat_groups(rights: list[bytes], lefts: list[bytes], length: int, unit: in
     maximal: a run of common left extension splits off its members where they differ on
     the left, and it is left to a deeper interval where they all agree on the right.
     """
-    for depth, members, near in _tree(rights, lefts, length, unit):
-        for ext, lo, hi in intervals(near):
-            if ext + depth >= length:
-                group = members[lo : hi + 1]
-                cut = (depth + 1) * unit
-                ends = [rights[m][:cut] for m in (min(group, key=rights.__getitem__), max(group, key=rights.__getitem__))]
-                if min(map(len, ends)) < cut or ends[0] != ends[1]:
+    if len(rights) == 2:
+        ext, depth = common_prefix(*lefts) // unit, common_prefix(*rights) // unit
+        if ext + depth >= length:
+            yield ext, depth, np.arange(2)
+        return
+    right, left = _Lcp(rights, unit), _Lcp(lefts, unit)
+    most = int(left.near.max())
+    for depth, first, last in intervals(right.near.tolist()):
+        need = length - depth
+        if most < need:
+            continue
+        at = np.sort(left.rank[right.order[first : last + 1]])
+        near = left.between(at[:-1], at[1:])
+        edges = np.flatnonzero(np.diff((near >= need).astype(np.int8), prepend=0, append=0))
+        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            for ext, lo, hi in intervals(near[a:b].tolist()):
+                if ext < need:
+                    continue
+                group = left.order[at[a + lo : a + hi + 1]]
+                ends = right.rank[group]
+                if right.near[ends.min() : ends.max()].min() == depth:
                     yield ext, depth, group
 
 
@@ -284,14 +305,13 @@ def stretches(rights: list[bytes], lefts: list[bytes], ids: list[tuple[int, int]
     ids are the least and largest id of each member's class; a group of words counts if it
     has two different ones.
     """
-    best: dict[int, tuple[int, int, int]] = {}
+    best = np.zeros((3, len(rights)), np.int64)
+    least, most = np.array(ids, np.int64).T
     for ext, depth, group in repeat_groups(rights, lefts, kind.length, kind.unit):
-        if kind.no and min(ids[m][0] for m in group) == max(ids[m][1] for m in group):
+        if kind.no and least[group].min() == most[group].max():
             continue
-        for m in group:
-            x = best.get(m, (0, 0, 0))
-            best[m] = (max(x[0], ext), max(x[1], depth), max(x[2], ext + depth))
-    return best
+        best[:, group] = np.maximum(best[:, group], [[ext], [depth], [ext + depth]])
+    return {int(m): tuple(best[:, m].tolist()) for m in np.flatnonzero(best[2])}
 
 
 _FOUND = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("size", pa.int32())])
@@ -437,9 +457,7 @@ def _contexts(texts: DataFrame, places: DataFrame, kinds: list[Kind]) -> DataFra
         types = (pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["kind", "h", "id", "pos", "least", "most", "left", "right"])
 
-    if not fits(refs, 24 + 40 * F.size("refs")) and fits(refs, 16):
-        texts = texts.join(F.broadcast(refs.select("id")), "id", "left_semi")
-    return texts.join(small_side(refs, 24 + 40 * F.size("refs")), "id").select("id", "t", "refs").mapInArrow(run, _CONTEXT)
+    return maybe_in(texts, "id", refs.select("id")).join(refs, "id").select("id", "t", "refs").mapInArrow(run, _CONTEXT)
 
 
 def _classes(anchors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -447,7 +465,7 @@ def _classes(anchors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     anchors = materialize(anchors, "repeat-anchors")
     grams = anchors.groupBy("h").agg(F.count("*").alias("c"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("c > 1")
     grams = materialize(grams.select("h", (F.col("a") != F.col("b")).alias("mixed")), "repeat-grams")
-    live = materialize(anchors.join(small_side(grams, 40), "h"), "repeat-live")
+    live = materialize(anchors.join(grams, "h"), "repeat-live")
     discard(anchors, grams)
     at = F.min(F.struct("id", "pos")).alias("at")
     classes = live.groupBy("kind", "h", "ctx").agg(F.count("*").alias("c"), at, F.max("mixed").alias("mixed"), F.min("id").alias("least"), F.max("id").alias("most"))
@@ -466,7 +484,7 @@ def covered(texts: DataFrame, kinds: list[Kind]) -> DataFrame:
     """
     live, classes, places = _classes(_anchors(texts, kinds))
     again = materialize(classes.where("(kind = 0 and c > 1) or (kind = 1 and least < most)").select("h", "ctx"), "repeat-again")
-    whole = live.join(small_side(again, 40), ["h", "ctx"])
+    whole = live.join(again, ["h", "ctx"])
     whole = whole.select("kind", "id", (F.col("pos") - F.col("l")).alias("lo"), (F.col("pos") + F.col("r")).alias("hi"), (F.col("l") + F.col("r")).cast("int").alias("size"))
     found = whole.unionByName(_trees(_contexts(texts, places.where(F.col("d") <= TREE_MOST), kinds), kinds))
     large = places.where(F.col("d") > TREE_MOST)
@@ -486,8 +504,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     span = F.when(F.col("kind") == 0, F.struct("lo", "hi"))
     marks = covered(texts, [byte_kind(length), WORDS]).groupBy("id").agg(F.collect_set(span).alias("spans"), F.max(F.when(F.col("kind") == 1, F.col("size"))).alias("words"))
     marks = materialize(marks, "repeat-marks")
-    wide = 32 + 24 * F.size("spans")
-
     def run(batches):
         for part in lots(batches):
             out = []
@@ -508,16 +524,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, ty) for x, ty in zip(zip(*out), types)], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "passage_words", "kept"])
 
-    if fits(marks, wide):
-        both = texts.join(F.broadcast(marks), "id", "left")
-    elif fits(marks, 16):  # only texts with a repeat move
-        ids = F.broadcast(marks.select("id"))
-        clean = texts.join(ids, "id", "left_anti").select("id", "t", F.lit(None).cast(marks.schema["spans"].dataType).alias("spans"), F.lit(None).cast("int").alias("words"))
-        both = texts.join(ids, "id", "left_semi").join(marks, "id").select("id", "t", "spans", "words").unionByName(clean)
-    else:
-        both = texts.join(marks, "id", "left")
-    got = both.select("id", "t", "spans", "words").mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_words long, kept binary")
-    return got.withColumnRenamed("id", id_col)
+    ids = marks.select("id")
+    some = maybe_in(texts, "id", ids).join(marks, "id", "left").select("id", "t", "spans", "words")
+    got = some.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_words long, kept binary")
+    zero = F.lit(0).cast("long")
+    rest = maybe_in(texts, "id", ids, yes=False)  # texts without a repeat don't move
+    rest = rest.select("id", F.octet_length("t").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("t", 256).alias("kept_sha256"), zero.alias("passage_words"), F.when(F.lit(with_text), F.col("t")).alias("kept"))
+    return got.unionByName(rest).withColumnRenamed("id", id_col)
 
 
 def op8_repeats(spark, sf_dir: str) -> DataFrame:
