@@ -2,22 +2,25 @@
 
 1. Voters. Single words (lexicon voters) and word beginnings or ends of 3 to 7 bytes
    (pattern voters) that are far likelier in labelled toxic texts vote toxic where they
-   occur and abstain elsewhere; each rule reads a text alone.
-2. Label model. A latent class model of the votes, with the given label as one more
-   voter that never abstains, is fitted by expectation maximisation: per class each
-   voter's rate (its accuracy) and, along a maximum spanning tree of conditional mutual
-   information, its dependence on one other voter (the correlations), so that voters that
-   fire together do not count twice. Abstaining says nothing about the class.
+   occur, those likelier in the others vote clean; four more speak where none, few, many or
+   very many of the toxic ones occur, so a passing mention is a vote for clean; elsewhere
+   they abstain. Each rule reads a text alone; the labels pick the rules and are no votes.
+2. Label model. A latent class model of the votes is fitted by expectation maximisation
+   over labelled and unlabelled texts, labels weighing the rates and never the posterior: per
+   class each voter's rate (its accuracy) and, along a maximum spanning tree of
+   conditional mutual information, its dependence on one other voter (the correlations),
+   so that voters that fire together do not count twice. Abstaining says nothing.
 3. Classifier. Logistic regression on hashed word, beginning and end features, trained
    on the posterior labels.
 
-Training uses a bounded sample, per_class labelled rows a class (smallest id hash) of
-texts of at most max_chars characters, never held-out rows. Scoring reads whole texts.
+Training uses a bounded sample, per_class labelled rows a class and as many unlabelled
+ones (smallest id hash) of texts of at most max_chars characters, never held-out rows.
+Scoring reads whole texts.
 
 Defined results for odd input: null and empty texts get the classifier's prior; with no
 labelled row of both classes every score is 0; several labels of an id count as toxic if
-one is; rows that repeat an id get equal scores for equal texts; an empty table gives
-no rows; further columns are ignored.
+one is; of ties in the hash the smaller id is taken; rows that repeat an id get equal
+scores for equal texts; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +30,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm import textbuf
+from vectide.llm.common import materialize
 from vectide.llm.language_id import held_out
+from vectide.llm.ngram_join import lots
 
 BITS = 20
 EDGES = (3, 4, 5, 6, 7)
@@ -105,12 +110,12 @@ class LabelModel:
     rate: np.ndarray  # class x parent state x voter
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """P(toxic | votes) of rows of 0/1 votes, the last column the given label."""
+        """P(toxic | votes) of rows of votes, 1 where a voter speaks and 0 where it abstains."""
         state = np.where(self.parent >= 0, votes[:, self.parent], 0).astype(int)
         logs = []
         for y in (0, 1):
             r = np.where(state == 1, self.rate[y, 1], self.rate[y, 0])
-            told = np.where(votes == 1, np.log(r), 0).sum(1) + np.where(votes[:, -1] == 0, np.log1p(-r[:, -1]), 0)
+            told = np.where(votes == 1, np.log(r), 0).sum(1)
             logs.append(told + np.log(self.prior if y else 1 - self.prior))
         return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60)))
 
@@ -137,25 +142,33 @@ def _tree(votes: np.ndarray, q: np.ndarray) -> np.ndarray:
     return parent
 
 
-def fit_label_model(votes: np.ndarray, start: np.ndarray, rounds: int = 15) -> LabelModel:
-    """Expectation maximisation from starting posteriors."""
-    q = np.clip(start, 0.02, 0.98)
-    model = None
+def rates(votes: np.ndarray, q: np.ndarray) -> LabelModel:
+    """The label model that posteriors q suggest."""
+    parent = _tree(votes, q)
+    state = np.where(parent >= 0, votes[:, parent], 0)
+    rate = np.zeros((2, 2, votes.shape[1]))
+    for y, w in ((0, 1 - q), (1, q)):
+        alone = ((votes * w[:, None]).sum(0) + 0.5) / (w.sum() + 1)
+        for s in (0, 1):
+            m = (state == s) * w[:, None]
+            rate[y, s] = ((votes * m).sum(0) + 2 * alone) / (m.sum(0) + 2)
+    return LabelModel(float(np.clip(q.mean(), 0.01, 0.99)), parent, np.clip(rate, 1e-4, 1 - 1e-4))
+
+
+def fit_label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 15) -> LabelModel:
+    """Expectation maximisation over all rows of votes; y is nan where no label is.
+
+    Labels, where given, weigh the rates; posteriors are of the votes alone.
+    """
+    told = np.isfinite(y)
+    model, q = rates(votes[told], y[told]), y.copy()
     for _ in range(rounds):
-        parent = _tree(votes, q)
-        state = np.where(parent >= 0, votes[:, parent], 0)
-        rate = np.zeros((2, 2, votes.shape[1]))
-        for y, w in ((0, 1 - q), (1, q)):
-            alone = ((votes * w[:, None]).sum(0) + 0.5) / (w.sum() + 1)
-            for s in (0, 1):
-                m = (state == s) * w[:, None]
-                rate[y, s] = ((votes * m).sum(0) + 2 * alone) / (m.sum(0) + 2)
-        rate[0, :, -1], rate[1, :, -1] = np.minimum(rate[0, :, -1], 0.02), np.maximum(rate[1, :, -1], 0.98)
-        model = LabelModel(float(np.clip(q.mean(), 0.01, 0.99)), parent, np.clip(rate, 1e-4, 1 - 1e-4))
-        new = model.posterior(votes)
-        if np.abs(new - q).max() < 1e-3:
+        new = model.posterior(votes[~told])
+        moved = np.abs(new - np.nan_to_num(q[~told], nan=-1.0)).max(initial=0.0)
+        if moved < 1e-3:
             break
-        q = new
+        q[~told] = new
+        model = rates(votes, q)
     return model
 
 
@@ -176,28 +189,53 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def train(texts: list[str | None], toxic: list[int], voters: int = 200, least: int = 3, steps: int = 400, l2: float = 1.0, lift_min: float = 3.0, z_min: float = 3.0) -> Model:
-    """Voters, label model and classifier from labelled texts."""
-    y = np.asarray(toxic, float)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(1 << BITS, np.float32), -60.0)
-    row, slot = presence(texts, np.ones(1 << BITS, bool))
-    n1, n0 = y.sum(), (1 - y).sum()
-    c1, c0 = np.bincount(slot, y[row], 1 << BITS), np.bincount(slot, 1 - y[row], 1 << BITS)
+def panel(row: np.ndarray, slot: np.ndarray, y: np.ndarray, voters: int, least: int, lift_min: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(toxic lexicon, slots that vote toxic, slots that vote clean, z) from labelled rows; y is nan where no label is."""
+    told = np.isfinite(y)
+    n1, n0 = (y == 1).sum(), (y == 0).sum()
+    mine = told[row]
+    c1, c0 = (np.bincount(slot[mine], y[row[mine]] == v, 1 << BITS) for v in (1, 0))
     p1, p0 = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
     z = (np.log(p1 / (1 - p1)) - np.log(p0 / (1 - p0))) / np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
     lift = np.log(p1 / p0)
-    good = np.flatnonzero((c1 >= least) & (lift > lift_min) & (z > 2.5))
-    panel = good[np.argsort(-z[good], kind="stable")[:voters]]
+    strong = (c1 >= least) & (lift > lift_min)
+    toxic = np.flatnonzero(strong & (z > min(4.0, 0.7 * z.max())))
+    clean = np.flatnonzero((c0 >= least) & (lift < -1.0) & (z < -2.5))
+    pick = lambda some, key, most: some[np.argsort(key[some], kind="stable")[:most]]
+    return toxic, pick(toxic, -z, voters), pick(clean, z, voters // 4), np.where(strong, z, 0)
+
+
+def hits(row: np.ndarray, slot: np.ndarray, rows: int, lexicon: np.ndarray) -> np.ndarray:
+    """How many features of the lexicon each text has."""
+    known = np.zeros(1 << BITS, bool)
+    known[lexicon] = True
+    return np.bincount(row[known[slot]], minlength=rows)
+
+
+def cast(row: np.ndarray, slot: np.ndarray, count: np.ndarray, cut: int, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+    """Votes, rows x voters: the rules' own, then those on the count of toxic features (none, few, many, very many)."""
     place = np.full(1 << BITS, -1)
-    place[panel] = np.arange(len(panel))
-    votes = np.zeros((len(y), len(panel) + 1))
+    speak = np.concatenate([toxic, clean])
+    place[speak] = np.arange(len(speak))
+    votes = np.zeros((len(count), len(speak)))
     mine = place[slot] >= 0
     votes[row[mine], place[slot[mine]]] = 1
-    votes[:, -1] = y
-    q = fit_label_model(votes, 0.1 + 0.8 * y).posterior(votes)
-    used = np.flatnonzero((c1 >= least) & (z > z_min) & (lift > lift_min))
-    place[:] = -1
+    return np.column_stack([votes, count == 0, (count > 0) & (count < cut), count >= cut, count >= 2 * cut]).astype(float)
+
+
+def train(texts: list[str | None], toxic: list[int | None], voters: int = 200, least: int = 3, steps: int = 400, l2: float = 1.0, lift_min: float = 3.0, z_min: float = 3.0) -> Model:
+    """Voters, label model and classifier from texts, some of them labelled."""
+    y = np.array([np.nan if v is None else v for v in toxic], float)
+    if not (y == 1).any() or not (y == 0).any():
+        return Model(np.zeros(1 << BITS, np.float32), -60.0)
+    row, slot = presence(texts, np.ones(1 << BITS, bool))
+    lexicon, pro, con, z = panel(row, slot, y, voters, least, lift_min)
+    count = hits(row, slot, len(y), lexicon)
+    cut = max(range(1, 100), key=lambda t: (count[y == 1] >= t).mean() + (count[y == 0] < t).mean())
+    votes = cast(row, slot, count, cut, pro, con)
+    q = fit_label_model(votes, y).posterior(votes)
+    place = np.full(1 << BITS, -1)
+    used = np.flatnonzero(z > z_min)
     place[used] = np.arange(len(used))
     mine = place[slot] >= 0
     r, f = row[mine], place[slot[mine]]
@@ -216,24 +254,25 @@ def train(texts: list[str | None], toxic: list[int], voters: int = 200, least: i
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, per_class: int, max_chars: int) -> list:
-    """At most per_class rows of each class that are not held out, by smallest id hash."""
-    marks = labels.where(F.col("toxic").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    size = docs.where(F.length(F.coalesce("text", F.lit(""))) <= max_chars).select("doc_id")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = size.distinct().join(marks, "doc_id").withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_class).select("doc_id", "toxic")
+    """At most per_class rows of each class and without a label that are not held out, by smallest id hash."""
+    marks = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    able = docs.where((F.length(F.coalesce("text", F.lit(""))) <= max_chars) & ~held_out("doc_id")).select("doc_id").distinct().join(marks, "doc_id", "left")
+    able = materialize(able.where(F.col("doc_id").isNotNull()), "toxic-able")
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    some = lambda which: able.where(which).orderBy(*order).limit(per_class)
+    ids = some("toxic = 1").unionByName(some("toxic = 0")).unionByName(some("toxic is null"))
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").orderBy("doc_id").collect()
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_chars: int = 8000) -> DataFrame:
     """(doc_id, score) for every row of docs."""
     sample = training_rows(docs, labels, per_class, max_chars)
-    model = train([r.text for r in sample], [int(r.toxic) for r in sample])
+    model = train([r.text for r in sample], [None if r.toxic is None else int(r.toxic) for r in sample])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
+            for part in lots([batch], limit=1 << 22):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(part.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
