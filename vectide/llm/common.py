@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A join side is broadcast only if its measured rows times its row width stay below this.
 BROADCAST_BYTES = 24 * 1024 * 1024
@@ -93,6 +94,12 @@ def unused(name: str, taken: list[str]) -> str:
     return name
 
 
+def arrow_map(df: DataFrame, run, more: list[T.StructField]) -> DataFrame:
+    """df.mapInArrow(run) for a run that appends columns; df's own may have any names, run sees them as c0, c1, ..."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *more])).toDF(*df.columns, *[f.name for f in more])
+
+
 def quoted(name: str) -> Column:
     """The column of exactly this name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -9,12 +9,13 @@ untouched somewhere (tests enumerate them all), so the seeds lose no leak.
 
 Documents are tokenised, hashed and walked position by position inside one generated
 stage. The hash over the care positions common to all masks is looked up in the item
-side first, so only the few positions that pass meet the masks. Hits on one
-(document, item, diagonal) fold into one row that carries the aligned slice of at most
-one item's length, and the window count is verified on it.
+side first, so only the few positions that pass meet the masks. What may move is a
+position's id, number and three hashes, never the document. Hits on one (document, item,
+diagonal) fold into one row; only documents with hits are read again, and the window
+count is verified on the aligned slice of at most one item's length.
 
-The item side is broadcast only if its counted size is within BROADCAST_BYTES; a larger
-benchmark leaves Spark to shuffle.
+The item side is broadcast only if its measured size is within BROADCAST_BYTES; a larger
+benchmark leaves Spark to shuffle the positions.
 
 Defined results for odd input: null and empty texts, and items of fewer than WINDOW
 tokens, never match; repeated items match each under its id; documents that share an id
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import materialize, small_side
+from vectide.llm.common import materialize, maybe_in, quoted, small_side
 
 WINDOW, MISMATCHES = 13, 2
 MASKS = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
@@ -53,19 +54,23 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """Verified alignments as (id, item, diagonal, agreeing): agreeing is the most equal tokens in a window."""
     bench = items.select(F.col(item_col).alias("item"), tokens(F.col(item_text)).alias("bw")).where(F.size("bw") >= WINDOW)
     bench = materialize(bench, "leak-items")
-    spots = bench.select("item", "bw", F.size("bw").alias("len"), _positions("bw").alias("j"))
+    spots = bench.select("item", "bw", _positions("bw").alias("j"))
     first = materialize(spots.select(_seed("bw", "j", COMMON, 0).alias("c")).distinct(), "leak-common")
-    seeds = spots.select("item", "len", "j", F.explode(F.array(*[_seed("bw", "j", m, k + 1) for k, m in enumerate(MASKS)])).alias("s"))
-    seeds = materialize(seeds.groupBy("s", "item", "len", "j").agg(F.lit(1).alias("one")).drop("one"), "leak-seeds")
-    walked = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("hw"))
+    seeds = spots.select("item", "j", F.explode(F.array(*[_seed("bw", "j", m, k + 1) for k, m in enumerate(MASKS)])).alias("s"))
+    seeds = materialize(seeds.distinct(), "leak-seeds")
+    walked = docs.select(quoted(id_col).alias("id"), tokens(quoted(text_col)).alias("hw"))
     walked = walked.select("id", "hw", _positions("hw").alias("i"))
-    near = walked.withColumn("c", _seed("hw", "i", COMMON, 0)).join(small_side(first, 24), "c", "left_semi")
-    probe = near.select("id", "hw", "i", F.explode(F.array(*[_seed("hw", "i", m, k + 1) for k, m in enumerate(MASKS)])).alias("s"))
-    hit = probe.join(small_side(seeds, 48), "s").withColumn("diagonal", F.col("i") - F.col("j"))
+    keys = [_seed("hw", "i", m, k + 1) for k, m in enumerate(MASKS)]
+    walked = walked.select("id", "i", _seed("hw", "i", COMMON, 0).alias("c"), F.array(*keys).alias("keys"))
+    near = walked.join(small_side(first, 24), "c", "left_semi").select("id", "i", F.explode("keys").alias("s"))
+    hit = near.join(small_side(seeds, 48), "s").select("id", "item", (F.col("i") - F.col("j")).alias("diagonal")).distinct()
+    hit = materialize(hit, "leak-hits")
+    ids = materialize(hit.select("id").distinct(), "leak-ids")
+    again = maybe_in(docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("t")), "id", ids)
+    rows = again.select("id", tokens(F.col("t")).alias("hw")).join(hit, "id").join(small_side(bench, 40 + 8 * F.size("bw")), "item")
     start = F.greatest("diagonal", F.lit(0))
-    stop = F.least(F.col("diagonal") + F.col("len"), F.size("hw"))
-    rows = hit.groupBy("id", "item", "diagonal").agg(F.max(F.slice("hw", start + 1, stop - start)).alias("part"))
-    both = rows.join(small_side(bench, 16 + 8 * 2000), "item")
+    stop = F.least(F.col("diagonal") + F.size("bw"), F.size("hw"))
+    both = rows.select("id", "item", "bw", "diagonal", F.slice("hw", start + 1, F.greatest(stop - start, F.lit(0))).alias("part"))
     off = F.greatest(-F.col("diagonal"), F.lit(0))
     part = F.slice("bw", off + 1, F.size("part"))
     same = F.zip_with("part", part, lambda a, b: (a == b).cast("int"))

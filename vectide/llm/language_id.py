@@ -9,13 +9,14 @@ its words, which also fits code-switched text.
 Training: a bounded sample of per_label labelled texts a language (smallest hash of the
 id among texts of at most max_chars characters) on the driver. Word labels are the
 text's language; sequences chain segments of several texts, so that switches occur and
-their weights are learned. Prediction reads whole texts: a chain is a stretch of up to
-CHAIN words.
+their weights are learned. Prediction reads whole texts: a chain is a text, or a part of
+textbuf.PART characters of a longer one.
 
 Defined results for odd input: null texts and texts without a letter give und and score
 0; so do all texts if no labelled text exists; rows that repeat an id get the same
 result each if their texts agree; ties go to the first label in order; an empty table
-gives no rows; further columns pass through in identify() and are ignored in the query.
+gives no rows; further columns pass through in identify(), whatever their names, unless
+they are named like its output, which replaces them, and are ignored in the query.
 """
 
 from __future__ import annotations
@@ -27,12 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectide.llm import textbuf
+from vectide.llm.common import arrow_map, materialize, quoted
+from vectide.llm.ngram_join import lots
 
 BITS = 16
 ORDERS = 4
-CHAIN = 2048
+#: Words and padding that are scored at once, but for a longer chain by itself.
+AT_ONCE = 1 << 17
 _MULT = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)], np.uint64)
 
@@ -192,13 +197,12 @@ def classify(crf: Crf | None, texts: list[str | None]) -> tuple[list[str], np.nd
             continue
         e = crf.emissions(*features(buf, starts, ends))
         first = np.flatnonzero(np.diff(part, prepend=-1))
-        chain = []
-        for a, b in zip(first, np.append(first[1:], len(part))):
-            chain += [(c, min(c + CHAIN, b)) for c in range(a, b, CHAIN)]
-        chain.sort(key=lambda x: x[1] - x[0])
-        for lo in range(0, len(chain), 256):
-            some = chain[lo : lo + 256]
-            steps = some[-1][1] - some[-1][0]
+        chain = sorted(zip(first.tolist(), np.append(first[1:], len(part)).tolist()), key=lambda x: x[0] - x[1])
+        lo = 0
+        while lo < len(chain):
+            steps = chain[lo][1] - chain[lo][0]
+            some = chain[lo : lo + max(1, min(256, AT_ONCE // steps))]
+            lo += len(some)
             ids = np.full((steps, len(some)), -1)
             for c, (a, b) in enumerate(some):
                 ids[: b - a, c] = np.arange(a, b)
@@ -221,32 +225,38 @@ def classify(crf: Crf | None, texts: list[str | None]) -> tuple[list[str], np.nd
 
 
 def training_sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, max_chars: int) -> list:
-    """At most per_label labelled rows a label that are not held out, by smallest id hash."""
+    """At most per_label labelled rows a label that are not held out, by smallest id hash.
+
+    A first pass counts a label's rows and keeps those below a hash that twice the wanted
+    number is expected to fall under, so only a bounded sample is ranked.
+    """
     ok = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(id_col) & (F.length(text_col) <= max_chars))
+    ids = materialize(ok.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.xxhash64(F.col(id_col)).alias("h")), "language-ids")
+    share = ids.groupBy("label").agg(F.least(F.lit(1.0), (2.0 * per_label + 100) / F.count("*")).alias("share"))
+    low = ids.join(F.broadcast(share), "label").where(F.col("h") / 2.0**64 + 0.5 <= F.col("share"))
     order = Window.partitionBy("label").orderBy("h", "id")
-    ids = ok.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.xxhash64(F.col(id_col)).alias("h"))
-    ids = ids.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label).select("id", "label").distinct()
+    few = low.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_label).select("id", "label").distinct()
     text = ok.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(text_col).alias("text"))
-    return text.join(F.broadcast(ids), ["id", "label"]).orderBy("label", "id").collect()
+    return text.join(F.broadcast(few), ["id", "label"]).orderBy("label", "id").collect()
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_label: int = 200, max_chars: int = 20000) -> DataFrame:
     """docs with lang_pred and lang_score added."""
+    docs = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in ("lang_pred", "lang_score")])
     sample = training_sample(docs, id_col, text_col, lang_col, per_label, max_chars)
     crf = train([r.text for r in sample], [r.label for r in sample])
     shared = docs.sparkSession.sparkContext.broadcast(crf)
+    at = docs.columns.index(text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
-            for a in range(0, batch.num_rows, 2000):
-                part = batch.slice(a, 2000)
-                names, scores, _ = classify(model, part.column(part.schema.get_field_index(text_col)).to_pylist())
-                columns = [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "lang_pred", "lang_score"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(score, f"{fields}, lang_pred string, lang_score double")
+        for part in lots(batches, at, 1 << 22):
+            names, scores, _ = classify(model, part.column(at).to_pylist())
+            columns = [*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, "lang_pred", "lang_score"])
+
+    more = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
+    return arrow_map(docs, score, more)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,8 @@ within a group are ever listed. The partner found is verified by edit distance.
 
 Defined results for odd input: null texts stay null and have no lines; empty texts have
 one empty line, which stays; ids are expected to be unique, rows that repeat an id and
-text are folded together; an empty table gives no rows; further columns pass through.
+text are folded together; an empty table gives no rows; further columns pass through,
+whatever their names, but n_lines and n_removed, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import materialize, small_side
+from vectide.llm.common import materialize, quoted, small_side, unused
 
 #: Blocks of the second, finer filter.
 BLOCKS = 16
@@ -86,7 +87,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, every_line: bool = False
     live = materialize(keys.join(shared, "key", "left_semi").select("h1").distinct(), "line-live")
     wanted = classes.where("long").select("h1", "first").join(small_side(live, 24), "h1", "left_semi")
     wanted = materialize(wanted.groupBy(F.col("first.id").alias("id")).agg(F.collect_list("first.no").alias("nos")), "line-wanted")
-    texts = docs.join(small_side(wanted, 160), "id").select("id", F.split("t", "\n", -1).alias("ls"), F.explode("nos").alias("no"))
+    texts = docs.join(small_side(wanted, 24 + 4 * F.size("nos")), "id").select("id", F.split("t", "\n", -1).alias("ls"), F.explode("nos").alias("no"))
     texts = materialize(texts.select(F.struct("id", "no").alias("at"), F.col("ls")[F.col("no")].alias("line")).dropDuplicates(["at"]), "line-texts")
     blocks = texts.select("at", F.explode(_block_keys("line")).alias("k")).select("at", "k.*")
     common = blocks.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
@@ -116,28 +117,30 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, every_line: bool = False
     )
     near = materialize(near, "line-near")
     gone = classes.select("h1", "h2", "first", "c").join(small_side(near, 48), F.col("first") == F.col("at"), "left").where("c > 1 or at is not null")
-    gone = gone.select("h1", "h2", "first", F.col("at").isNotNull().alias("all"))
+    gone = materialize(gone.select("h1", "h2", "first", F.col("at").isNotNull().alias("all")), "line-hashes")
     lines = _lines(docs, min_chars, every_line).select("id", "no", *_hashes(line))
     return lines.join(gone, ["h1", "h2"]).where(F.col("all") | (F.struct("id", "no") != F.col("first"))).select("id", "no")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, every_line: bool = False) -> DataFrame:
     """docs with the dropped lines taken out of the text, plus n_lines and n_removed."""
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    gone = dropped_lines(slim, min_chars, every_line).groupBy("id").agg(F.sort_array(F.collect_set("no")).alias("gone_lines"))
-    gone = materialize(gone, "line-gone").withColumnRenamed("id", "gone_id")
-    out = docs.join(small_side(gone, 128), F.col(id_col) == F.col("gone_id"), "left").drop("gone_id")
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_removed")]
+    key, nos = unused("gone_id", names), unused("gone_lines", names)
+    slim = docs.select(quoted(id_col).alias("id"), quoted(text_col).alias("t"))
+    gone = dropped_lines(slim, min_chars, every_line).groupBy("id").agg(F.sort_array(F.collect_set("no")).alias(nos))
+    gone = materialize(gone, "line-gone").withColumnRenamed("id", key)
+    out = docs.join(small_side(gone, 24 + 4 * F.size(nos)), quoted(id_col) == F.col(key), "left").drop(key)
     none = F.array().cast("array<int>")
-    ls = F.split(F.col(text_col), "\n", -1)
-    last = F.concat(F.array(F.lit(-1)), F.slice("gone_lines", F.lit(1), F.size("gone_lines") - 1))
-    gaps = F.zip_with("gone_lines", last, lambda a, b: a - b - 1)
+    ls = F.split(quoted(text_col), "\n", -1)
+    last = F.concat(F.array(F.lit(-1)), F.slice(nos, F.lit(1), F.size(nos) - 1))
+    gaps = F.zip_with(nos, last, lambda a, b: a - b - 1)
     stays = F.flatten(F.transform(gaps, lambda n: F.concat(F.array_repeat(F.lit(True), n), F.array(F.lit(False)))))
     kept = F.zip_with(ls, stays, lambda x, y: F.when(F.coalesce(y, F.lit(True)), x))  # array_join skips nulls
-    text = F.when(F.col("gone_lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col(nos).isNull(), quoted(text_col)).otherwise(F.array_join(kept, "\n"))
     return out.select(
-        *[text.alias(text_col) if c == text_col else F.col(f"`{c}`") for c in docs.columns],
+        *[text.alias(text_col) if c == text_col else quoted(c) for c in names],
         F.coalesce(F.size(ls), F.lit(0)).cast("long").alias("n_lines"),
-        F.size(F.coalesce("gone_lines", none)).cast("long").alias("n_removed"),
+        F.size(F.coalesce(nos, none)).cast("long").alias("n_removed"),
     )
 
 

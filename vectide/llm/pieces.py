@@ -35,6 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from vectide.llm.common import arrow_map, quoted
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WIDE = 24
@@ -334,18 +337,21 @@ def decode(v: Vocabulary, ids) -> str:
 
 _EDIT = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
 _PATH = pa.struct([("score", pa.float64()), ("edits", pa.list_(_EDIT))])
-_SQL_PATH = "array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>"
+_IDS = T.ArrayType(T.IntegerType())
+_EDITS = T.ArrayType(T.StructType([T.StructField("at", T.IntegerType()), T.StructField("drop", T.IntegerType()), T.StructField("ids", _IDS)]))
+_PATHS = T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("edits", _EDITS)]))
+_ADDED = T.StructType([T.StructField("ids", _IDS), T.StructField("nbest", _PATHS), T.StructField("decoded_ok", T.BooleanType())])
 
 
 def encode(docs: DataFrame, text_col: str = "text", n: int = 4, model: str = MODEL) -> DataFrame:
     """docs with ids (best path), nbest (scores and changes to ids) and decoded_ok (ids decode to the text)."""
     taken = {"ids", "nbest", "decoded_ok"}
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in taken])
+    docs = docs.select(*[quoted(c) for c in docs.columns if c.lower() not in taken])
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(model, n)
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
             lo = 0
             texts = batch.column(at).to_pylist()
             while lo < len(texts):
@@ -368,22 +374,21 @@ def encode(docs: DataFrame, text_col: str = "text", n: int = 4, model: str = MOD
                 yield pa.RecordBatch.from_arrays([*part.columns, ids, nbest, ok], names=[*part.schema.names, "ids", "nbest", "decoded_ok"])
                 lo = hi
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}ids array<int>, nbest {_SQL_PATH}, decoded_ok boolean")
+    return arrow_map(docs, run, _ADDED.fields)
 
 
 def decode_ids(df: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
-    """df with a column decoded: the text of its piece ids, null for null."""
+    """df with a column decoded: the text of its piece ids, null for null; a column of that name is replaced."""
+    df = df.select(*[quoted(c) for c in df.columns if c.lower() != "decoded"])
+    at = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids_col)).to_pylist()
-            texts = pa.array([None if x is None else decode(v, x) for x in lists], pa.string())
+            texts = pa.array([None if x is None else decode(v, x) for x in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields)
-    return df.mapInArrow(run, f"{fields}decoded string")
+    return arrow_map(df, run, [T.StructField("decoded", T.StringType())])
 
 
 def op4_pieces(spark, sf_dir: str) -> DataFrame:
