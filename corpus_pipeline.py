@@ -2,7 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's docs. All but the last return the columns of
-documents.
+docs, whatever else than the five of documents these are; doc_id is expected to be unique
+and not null. Null texts have no language and go in the first stage, as texts without a
+letter do; given to a later stage they stay as they are. Rows that repeat a doc_id and its
+text share every verdict. Ties go by the smallest doc_id, or for lines (doc_id, line
+number). An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -10,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm.common import materialize, small_side
+from vectide.llm.common import materialize, quoted, small_side, unused
 from vectide.llm.decontaminate import leaking_documents
 from vectide.llm.language_id import identify
 from vectide.llm.line_dedup import line_dedup
@@ -23,8 +27,10 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; texts without a letter go."""
-    got = identify(docs)
-    return got.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    clash = {c: unused(f"own_{c}", docs.columns) for c in docs.columns if c.lower() in ("lang_pred", "lang_score")}
+    got = identify(docs.withColumnsRenamed(clash))
+    got = got.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE))
+    return got.select(*[quoted(clash.get(c, c)).alias(c) for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,21 +38,24 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars follows the new text.
     """
-    got = line_dedup(docs, every_line=True)
-    got = got.where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
-    return got.select(*[F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    clash = {c: unused(f"own_{c}", docs.columns) for c in docs.columns if c.lower() in ("n_lines", "n_removed")}
+    got = line_dedup(docs.withColumnsRenamed(clash), every_line=True)
+    gone = F.col("n_removed") > 0
+    got = got.where(~gone | (F.length(F.trim("text")) > 0))
+    size = F.when(gone, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return got.select(*[size.alias(c) if c == "n_chars" else quoted(clash.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each near-duplicate component."""
     groups = similar_groups(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(small_side(materialize(groups, "pipeline-near"), 16), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small_side(materialize(groups, "pipeline-near"), 16), "doc_id", "left_anti")
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
     leaks = materialize(leaking_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("id").alias("doc_id")), "pipeline-leaks")
-    return docs.join(small_side(leaks, 16), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small_side(leaks, 16), "doc_id", "left_anti")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
