@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -94,10 +98,30 @@ def unused(name: str, taken: list[str]) -> str:
     return name
 
 
+def release() -> None:
+    """Give freed memory of a Python worker back to the system, which it would else keep while idle."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """run for mapInArrow, followed by release()."""
+
+    def inner(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return inner
+
+
 def arrow_map(df: DataFrame, run, more: list[T.StructField]) -> DataFrame:
     """df.mapInArrow(run) for a run that appends columns; df's own may have any names, run sees them as c0, c1, ..."""
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
-    return plain.mapInArrow(run, T.StructType([*plain.schema.fields, *more])).toDF(*df.columns, *[f.name for f in more])
+    return plain.mapInArrow(tidy(run), T.StructType([*plain.schema.fields, *more])).toDF(*df.columns, *[f.name for f in more])
 
 
 def quoted(name: str) -> Column:

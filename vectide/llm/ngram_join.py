@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import components, discard, materialize, small_side
+from vectide.llm.common import components, discard, materialize, small_side, tidy
 
 LIGHT = 12
 HEAVY_LEAST = 10
@@ -239,8 +239,8 @@ def _statistics(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, d
         rest = [(1, n, c) for n, c in sizes.items()] + [(2, 0, squares), (3, 0, every)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rest), (pa.int32(), pa.int64(), pa.int64()))], names=["kind", "key", "n"])
 
-    packed = texts.mapInArrow(pack, "part int, heads binary, n long")
-    got = materialize(packed.repartition("part").sortWithinPartitions("part").mapInArrow(count, "kind int, key long, n long"), "join-counts")
+    packed = texts.mapInArrow(tidy(pack), "part int, heads binary, n long")
+    got = materialize(packed.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(count), "kind int, key long, n long"), "join-counts")
     level = F.floor(F.log2("n") * 8)
     held, least = 0, None
     for r in got.where("kind = 0").groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
@@ -352,7 +352,7 @@ def _keys(texts: DataFrame, words: int, heavy: np.ndarray, counts: np.ndarray, x
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sig, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), items)], names=["id", "n", "sig", "keys"]
             )
 
-    return texts.mapInArrow(run, "id long, n int, sig binary, keys array<struct<key:bigint,flags:int,salt:int>>")
+    return texts.mapInArrow(tidy(run), "id long, n int, sig binary, keys array<struct<key:bigint,flags:int,salt:int>>")
 
 
 def _fits(n1, n2, f1, f2, num: int, den: int):
@@ -442,7 +442,7 @@ def _scan(rows: DataFrame, num: int, den: int) -> DataFrame:
             if batch is None:
                 return
 
-    return rows.mapInArrow(scan, "key long, a long, b long, n int, flags int, salt int")
+    return rows.mapInArrow(tidy(scan), "key long, a long, b long, n int, flags int, salt int")
 
 
 def _bitmap(s: np.ndarray) -> np.ndarray:
@@ -468,7 +468,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
                 names=["id", "n", "bits", "items"],
             )
 
-    return texts.mapInArrow(run, "id long, n int, bits array<bigint>, items array<bigint>")
+    return texts.mapInArrow(tidy(run), "id long, n int, bits array<bigint>, items array<bigint>")
 
 
 def _linked(inter: Column, na: str, nb: str, num: int, den: int) -> Column:

@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import discard, materialize, maybe_in
+from vectide.llm.common import discard, materialize, maybe_in, tidy
 from vectide.llm.ngram_join import _long_words, _mix, _Powers, _word_hashes, lots
 
 GRAM = 160
@@ -208,7 +208,7 @@ def _anchors(texts: DataFrame, kinds: list[Kind]) -> DataFrame:
                         names=["kind", "h", "ctx", "id", "pos", "l", "r"],
                     )
 
-    return texts.mapInArrow(run, "kind tinyint, h long, ctx long, id long, pos int, l smallint, r smallint")
+    return texts.mapInArrow(tidy(run), "kind tinyint, h long, ctx long, id long, pos int, l smallint, r smallint")
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -343,7 +343,7 @@ def _trees(contexts: DataFrame, kinds: list[Kind]) -> DataFrame:
         if len(held) > 1 and (out := list(solve(held))):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), _FOUND.types)], schema=_FOUND)
 
-    return contexts.repartition("h").sortWithinPartitions("kind", "h").mapInArrow(run, "kind tinyint, id long, lo int, hi int, size int")
+    return contexts.repartition("h").sortWithinPartitions("kind", "h").mapInArrow(tidy(run), "kind tinyint, id long, lo int, hi int, size int")
 
 
 def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = GRAM) -> DataFrame:
@@ -389,7 +389,7 @@ def maximal_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield got
 
     contexts = _contexts(texts, materialize(every, "repeat-places"), [kind])
-    groups = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "group long, size int, h long, id long, pos int, ext int")
+    groups = contexts.repartition("h").sortWithinPartitions("h").mapInArrow(tidy(run), "group long, size int, h long, id long, pos int, ext int")
     groups = groups.join(every, ["h", "id", "pos"]).select("group", "size", "h", "ctx", "ext")
     spread = live.select("h", "ctx", "id", "pos").join(groups, ["h", "ctx"]).select("group", "size", "id", (F.col("pos") - F.col("ext")).alias("start"))
     every = whole.unionByName(spread).distinct()
@@ -424,7 +424,7 @@ def _counted(contexts: DataFrame, kinds: list[Kind]) -> DataFrame:
                     names=["kind", "h", "x", "back", "id", "pos", "least", "most"],
                 )
 
-    windows = materialize(contexts.mapInArrow(run, "kind tinyint, h long, x long, back int, id long, pos int, least long, most long"), "repeat-windows")
+    windows = materialize(contexts.mapInArrow(tidy(run), "kind tinyint, h long, x long, back int, id long, pos int, least long, most long"), "repeat-windows")
     often = windows.groupBy("kind", "h", "x", "back").agg(F.count("*").alias("c"), F.min("least").alias("a"), F.max("most").alias("b"))
     often = materialize(often.where("(kind = 0 and c > 1) or (kind = 1 and a < b)").drop("c", "a", "b"), "repeat-often")
     hit = windows.join(often, ["kind", "h", "x", "back"]).groupBy("kind", "id", "pos").agg(F.max("back").alias("far"), F.min("back").alias("near"))
@@ -457,7 +457,7 @@ def _contexts(texts: DataFrame, places: DataFrame, kinds: list[Kind]) -> DataFra
         types = (pa.int8(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), types)], names=["kind", "h", "id", "pos", "least", "most", "left", "right"])
 
-    return maybe_in(texts, "id", refs.select("id")).join(refs, "id").select("id", "t", "refs").mapInArrow(run, _CONTEXT)
+    return maybe_in(texts, "id", refs.select("id")).join(refs, "id").select("id", "t", "refs").mapInArrow(tidy(run), _CONTEXT)
 
 
 def _classes(anchors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -526,7 +526,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     ids = marks.select("id")
     some = maybe_in(texts, "id", ids).join(marks, "id", "left").select("id", "t", "spans", "words")
-    got = some.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_words long, kept binary")
+    got = some.mapInArrow(tidy(run), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, passage_words long, kept binary")
     zero = F.lit(0).cast("long")
     rest = maybe_in(texts, "id", ids, yes=False)  # texts without a repeat don't move
     rest = rest.select("id", F.octet_length("t").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("t", 256).alias("kept_sha256"), zero.alias("passage_words"), F.when(F.lit(with_text), F.col("t")).alias("kept"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm import textbuf
-from vectide.llm.common import materialize
+from vectide.llm.common import materialize, tidy
 from vectide.llm.language_id import held_out
 from vectide.llm.ngram_join import lots
 
@@ -275,7 +275,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, ma
             for part in lots([batch], limit=1 << 22):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value.score(part.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(score), "doc_id long, score double")
 
 
 def op7_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectide.llm.common import materialize, shared_dir
+from vectide.llm.common import materialize, shared_dir, tidy
 
 _URN = "urn:vectide:page:"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -96,7 +96,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "records": [records], "bytes": [size]})
 
-    return materialize(planned.mapInArrow(write, "path string, records long, bytes long"), "warc-manifest")
+    return materialize(planned.mapInArrow(tidy(write), "path string, records long, bytes long"), "warc-manifest")
 
 
 class _Stream:
@@ -212,7 +212,7 @@ def read_archives(manifest: DataFrame, folder: str, chunk: int = 1 << 18, with_d
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CHUNKS.types)], schema=_CHUNKS)
 
-    return paths.mapInArrow(read, "record_id long, chunk_no long, last boolean, record_type string, refers_to long, url string, bytes_so_far long, digest_so_far string, data binary")
+    return paths.mapInArrow(tidy(read), "record_id long, chunk_no long, last boolean, record_type string, refers_to long, url string, bytes_so_far long, digest_so_far string, data binary")
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
