@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "embeddings documents pages benchmark labels conversations".split()
-SOME = ["v_l2sq_u8", "v_neg_ip_i4", "v_matmul", "v_quantize_u4", "exact_knn_u8", "exact_knn_u8_sql", "exact_knn_mips", "rerank_u4_f32", "recall_ties", "merged_edges", "ivf_assign", "ivf_probe_partial", "pq_adc", "kmeans_step", "batch_ranges"]
+SOME = ["v_l2sq_u8", "v_neg_ip_i4", "v_matmul", "v_quantize_u4", "exact_knn_u8", "exact_knn_u8_sql", "exact_knn_mips", "rerank_u4_f32", "recall_ties", "merged_edges", "ivf_assign", "ivf_probe_partial", "pq_adc", "kmeans_step", "batch_ranges", "graph_search_codes_rerank", "graph_search_quality"]
 
 
 def plain(v):

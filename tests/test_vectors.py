@@ -100,3 +100,14 @@ def test_data_source(spark, tmp_path):
     assert spark.read.option("header", True).csv(f"{tmp_path}/report").count() == 20
     assert vecbin.gather(back, [1, 3]).count() == 2
     assert F is not None
+
+
+@pytest.mark.parametrize("kind,values", [("u4bin", [[0, 16, 240, 32], [48, 0, 16, 224]]), ("i4bin", [[0, 16, -128, 112], [-16, 0, 32, -32]]), ("fbin", [[0.5, 1.0, -2.0, 3.0]] * 2)])
+def test_vecbin_round_trip_and_overwrite(spark, tmp_path, kind, values):
+    vecbin.register(spark)
+    path = str(tmp_path / kind)
+    for shift in (10, 20):
+        df = spark.createDataFrame([(i + shift, [float(v) for v in row]) for i, row in enumerate(values)], "id long, vec array<float>").coalesce(1)
+        df.write.format("vecbin").option("type", kind).mode("overwrite").save(path)
+    got = sorted((r.id, r.vec) for r in spark.read.format("vecbin").load(path).collect())
+    assert got == [(i + 20, [float(v) for v in row]) for i, row in enumerate(values)]

@@ -63,7 +63,7 @@ class VecReader(DataSourceReader):
                     low, high = (low ^ 8) - 8, (high ^ 8) - 8
                 x = np.stack([low * 16, high * 16], 2).reshape(len(x), -1)
         named = p.path.rsplit(".", 1)[0] + ".ids"
-        ids = np.fromfile(named, "<i8")[p.start : p.start + p.count] if os.path.exists(named) else np.arange(p.first_id, p.first_id + len(x))
+        ids = np.fromfile(named, "<i8", p.count, offset=8 * p.start) if os.path.exists(named) else np.arange(p.first_id, p.first_id + len(x))
         step = 1 << 14
         for a in range(0, len(x), step):
             part = np.ascontiguousarray(x[a : a + step], np.float32)
@@ -71,6 +71,14 @@ class VecReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(ids[a : a + step], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(part.ravel()))], names=["id", "vec"])
 
 
+def pack_nibbles(x: np.ndarray) -> np.ndarray:
+    """Bytes of two dimensions each, even ones low; values are sixteen times a nibble, as the reader gives them."""
+    if x.shape[1] % 2:
+        x = np.concatenate([x, np.zeros((len(x), 1), x.dtype)], 1)
+    nibble = (x // 16).astype(np.int64) & 15
+    return (nibble[:, 0::2] | nibble[:, 1::2] << 4).astype(np.uint8)
+
+
 class _Wrote(WriterCommitMessage):
     def __init__(self, files: list[str]):
         self.files = files
@@ -79,8 +87,8 @@ class _Wrote(WriterCommitMessage):
 class VecWriter(DataSourceWriter):
     """Writes a file per task under a temporary name, renamed when the job commits."""
 
-    def __init__(self, options: dict):
-        self.path, self.kind = options["path"], options.get("type", "fbin")
+    def __init__(self, options: dict, overwrite: bool = False):
+        self.path, self.kind, self.overwrite = options["path"], options.get("type", "fbin"), overwrite
         formats.dtype_of(f"x.{self.kind}")
 
     def write(self, iterator) -> WriterCommitMessage:
@@ -90,16 +98,22 @@ class VecWriter(DataSourceWriter):
         ids, rows = [], []
         for r in iterator:
             ids.append(r["id"])
-            rows.append(r["vec"])
+            rows.append(np.asarray(r["vec"], np.float32))
         if not rows:
             return _Wrote([])
+        x = np.stack(rows)
+        if self.kind in ("u4bin", "i4bin"):
+            x = pack_nibbles(x)
         t = TaskContext.get()
         name = f"{self.path}/.part-{t.partitionId():05d}-{t.taskAttemptId()}"
-        formats.write_vectors(f"{name}.{self.kind}", np.array(rows))
+        formats.write_vectors(f"{name}.{self.kind}", x)
         np.array(ids, "<i8").tofile(f"{name}.ids")
         return _Wrote([f"{name}.{self.kind}", f"{name}.ids"])
 
     def commit(self, messages) -> None:
+        if self.overwrite:
+            for f in glob.glob(f"{self.path}/*"):
+                os.remove(f)
         for m in messages:
             for f in m.files if m else ():
                 os.rename(f, f.replace("/.part-", "/part-"))
@@ -125,7 +139,7 @@ class VecSource(DataSource):
         return VecReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
-        return VecWriter(dict(self.options))
+        return VecWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
