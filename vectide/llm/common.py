@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 #: A join side is broadcast only if its measured rows times its row width stay below this.
 BROADCAST_BYTES = 24 * 1024 * 1024
-#: Bytes of an edge in the size check, and edges of one part of an exchange while all edges pass it.
+#: Bytes of an edge in the size check, and edges a task reads of an exchange while all edges pass it.
 EDGE_BYTES, PART_EDGES = 48, 65_536
 
 
@@ -137,10 +137,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
     component is the smallest node id of the component. Alternates large-star and
     small-star steps; each is a grouped minimum, combined before it is shuffled, and a join
     of the edges with the minima. If the edges fit the measured bound, the minima are
-    broadcast and the exchanges of edges have as many parts as the edges need, whatever the
-    session sets; else the minima are a written table, so the join's sides are both plain exchanges
+    broadcast and the parts of every exchange are read by as many tasks as the edges need, whatever
+    the session sets; else the minima are a written table, so the join's sides are both plain exchanges
     and Spark splits the edges of a hub over tasks. Nodes without edges are not returned. An empty
-    edge list gives an empty result. Rounds grow with the logarithm of the edges. With
+    edge list gives an empty result, without a round. Rounds grow with the logarithm of the edges. With
     settle=False it may stop after max_rounds: equal labels are then connected for certain,
     different ones may be.
     """
@@ -155,22 +155,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
     small = n * EDGE_BYTES <= BROADCAST_BYTES
     parts = 4 + n // PART_EDGES
 
-    def minima(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if small else materialize(df, "minima")
+    def few(df: DataFrame) -> DataFrame:
+        return df.coalesce(parts) if small else df
 
-    def dealt(df: DataFrame) -> DataFrame:
-        return df.repartition(parts, "u") if small else df
+    def minima(df: DataFrame) -> DataFrame:
+        return F.broadcast(few(df)) if small else materialize(df, "minima")
 
     last = None
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    for _ in range(max_rounds if n else 0):
+        ends = few(e)
+        both = ends.unionByName(ends.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = minima(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = dealt(large.where("u <> v")).distinct()
+        down = few(large.where("u <> v").distinct())
         down = down if small else materialize(down, "edges")
         low2 = minima(down.groupBy("u").agg(F.min("v").alias("m")))
         step = down.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low2.select("u", F.col("m").alias("v")))
-        new = materialize(dealt(step.where("u <> v")).distinct(), "edges")
+        new = materialize(few(step.where("u <> v").distinct()), "edges")
         discard(e, *([] if small else [low, low2, down]))
         e = new
         state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -178,8 +179,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 2
             break
         last = tuple(state)
     else:
-        if settle:
+        if settle and n:
             raise RuntimeError("component labelling did not settle")
-    star = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    roots = e.select(F.col("v").alias("node")).distinct().join(star, "node", "left_anti")
+    star = few(e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node"))
+    roots = few(e.select(F.col("v").alias("node")).distinct()).join(star, "node", "left_anti")
     return star.unionByName(roots.select("node", F.col("node").alias("component")))
