@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectide.llm.common import arrow_map, quoted
+from vectide.llm.ngram_join import lots
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 WIDE = 24
@@ -351,28 +352,20 @@ def encode(docs: DataFrame, text_col: str = "text", n: int = 4, model: str = MOD
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(model, n)
-        for batch in batches:
-            lo = 0
-            texts = batch.column(at).to_pylist()
-            while lo < len(texts):
-                hi, held = lo, 0
-                while hi < len(texts) and held < 1 << 20:
-                    held += len(texts[hi] or "")
-                    hi += 1
-                some, part = texts[lo:hi], batch.slice(lo, hi - lo)
-                got = enc.encode([t or "" for t in some])
-                offsets = np.zeros(len(some) + 1, np.int32)
-                np.cumsum([len(g[0]) for g in got], out=offsets[1:])
-                flat = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int32)
-                none = pa.array([t is None for t in some])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=none)
-                nbest = pa.array(
-                    [None if t is None else [{"score": s, "edits": [{"at": a, "drop": d, "ids": x} for a, d, x in e]} for s, e in g[1]] for t, g in zip(some, got)],
-                    pa.list_(_PATH),
-                )
-                ok = pa.array([None if t is None else decode(enc.v, g[0].tolist()) == t.encode("utf-8", "replace").decode("utf-8") for t, g in zip(some, got)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*part.columns, ids, nbest, ok], names=[*part.schema.names, "ids", "nbest", "decoded_ok"])
-                lo = hi
+        for part in lots(batches, at):
+            some = part.column(at).to_pylist()
+            got = enc.encode([t or "" for t in some])
+            offsets = np.zeros(len(some) + 1, np.int32)
+            np.cumsum([len(g[0]) for g in got], out=offsets[1:])
+            flat = np.concatenate([g[0] for g in got]) if got else np.zeros(0, np.int32)
+            none = pa.array([t is None for t in some])
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()), mask=none)
+            nbest = pa.array(
+                [None if t is None else [{"score": s, "edits": [{"at": a, "drop": d, "ids": x} for a, d, x in e]} for s, e in g[1]] for t, g in zip(some, got)],
+                pa.list_(_PATH),
+            )
+            ok = pa.array([None if t is None else decode(enc.v, g[0].tolist()) == t.encode("utf-8", "replace").decode("utf-8") for t, g in zip(some, got)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*part.columns, ids, nbest, ok], names=[*part.schema.names, "ids", "nbest", "decoded_ok"])
 
     return arrow_map(docs, run, _ADDED.fields)
 
