@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.functions import vector as V
-from vectide.operators.exact import QUERY_BYTES, _merge, distances, knn_join, matrix, top_k
+from vectide.operators.exact import QUERY_BYTES, knn_join, scan, top_k
 
 
 def sampled(id_col: str, fraction: float) -> Column:
@@ -25,45 +23,10 @@ def nearest(vectors: DataFrame, centroids: DataFrame, r: int, metric: str = "l2"
     """The r nearest centroids of every vector: (vec_id, rnk, centroid_id, dist).
 
     Centroids go to the vectors in blocks of at most block_bytes. With one block, which is
-    the usual case, nothing is shuffled.
+    the usual case, nothing is ranked again.
     """
-    spark = vectors.sparkSession
-    centroids = centroids.select("id", "vec").persist()
-    size = int(centroids.agg(F.sum(F.size("vec") * 8 + 16)).first()[0] or 0)
-    blocks = max(1, -(-size // block_bytes))
-    kind = "long" if exact else "double"
-    parts = []
-    for b in range(blocks):
-        got = (centroids if blocks == 1 else centroids.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)).orderBy("id").toArrow()
-        if not got.num_rows:
-            continue
-        shared = spark.sparkContext.broadcast((got.column(0).to_numpy(), matrix(got.column(1).combine_chunks())))
-
-        def assign(batches, shared=shared):
-            cid, c = shared.value
-            step = max(1, min(2048, (1 << 22) // len(cid)))
-            for batch in batches:
-                for a in range(0, batch.num_rows, step):
-                    part = batch.slice(a, step)
-                    ids, dist = _merge(None, cid[None], distances(matrix(part.column(1)), c, metric, exact), r)
-                    n = ids.shape[1]
-                    d = dist.ravel()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat(part.column(0).to_numpy(zero_copy_only=False), n)), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), len(ids))), pa.array(ids.ravel()), pa.array(d.astype(np.int64) if exact else d)],
-                        names=["vec_id", "rnk", "centroid_id", "dist"],
-                    )
-
-        parts.append(vectors.select(F.col("id").cast("long"), "vec").mapInArrow(assign, f"vec_id long, rnk int, centroid_id long, dist {kind}"))
-    centroids.unpersist()
-    if not parts:
-        return spark.createDataFrame([], f"vec_id long, rnk int, centroid_id long, dist {kind}")
-    if len(parts) == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    w = Window.partitionBy("vec_id").orderBy("dist", "centroid_id")
-    return out.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= r)
+    got = scan(vectors, centroids, r, metric, exact, block_bytes)
+    return got.select(F.col("qid").alias("vec_id"), "rnk", F.col("id").alias("centroid_id"), "dist")
 
 
 def build(base: DataFrame, centroids: DataFrame, r: int = 16, metric: str = "l2", exact: bool = False, max_size: int | None = None) -> DataFrame:
