@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.functions import vector as V
-from vectide.operators.exact import QUERY_BYTES, knn_join, scan, top_k
+from vectide.operators.exact import CELLS, QUERY_BYTES, Nearest, _blocks, _size, _united, knn_join, matrix, operand, scan, top_k
 
 
 def sampled(id_col: str, fraction: float) -> Column:
@@ -29,16 +31,20 @@ def nearest(vectors: DataFrame, centroids: DataFrame, r: int, metric: str = "l2"
     return got.select(F.col("qid").alias("vec_id"), "rnk", F.col("id").alias("centroid_id"), "dist")
 
 
-def build(base: DataFrame, centroids: DataFrame, r: int = 16, metric: str = "l2", exact: bool = False, max_size: int | None = None) -> DataFrame:
+def build(base: DataFrame, centroids: DataFrame, r: int = 16, metric: str = "l2", exact: bool = False, max_size: int | None = None, whole: bool = False) -> DataFrame:
     """Posting lists as rows (centroid_id, vec_id, dist, rnk).
 
     A centroid's vector goes to its own list only. With max_size a list keeps its nearest
     max_size members besides the vectors for which it is the first choice, so every vector
-    stays in at least one list.
+    stays in at least one list. A centroid with r copies of smaller id among the centroids
+    does not rank its own list and is in none; whole puts it in its own as the first.
     """
     got = nearest(base, centroids, r, metric, exact)
     own = centroids.select(F.col("id").alias("vec_id"), F.lit(True).alias("own"))
     rows = got.join(own, "vec_id", "left").where(F.col("own").isNull() | (F.col("vec_id") == F.col("centroid_id"))).select("centroid_id", "vec_id", "dist", "rnk")
+    if whole:
+        self_ = centroids.select(F.col("id").cast("long").alias("centroid_id"), F.col("id").cast("long").alias("vec_id"), V.distance("vec", "vec", metric, exact).alias("dist"), F.lit(1).alias("rnk"))
+        rows = rows.where("vec_id <> centroid_id").unionByName(self_)
     if max_size is None:
         return rows
     w = Window.partitionBy("centroid_id").orderBy("dist", "vec_id")
@@ -79,12 +85,55 @@ def split_lists(postings: DataFrame, most: int) -> DataFrame:
 def probe(queries: DataFrame, centroids: DataFrame, inlined: DataFrame, k: int, nprobe: int, metric: str = "l2", exact: bool = False) -> DataFrame:
     """Search the nprobe nearest lists of every query: (qid, rnk, id, dist).
 
-    A vector in several probed lists counts once. All lists probed makes it exact.
+    A vector in several probed lists counts once. All lists probed makes it exact over the
+    vectors that are in a list. Queries with the lists they probe go to the lists in blocks
+    of QUERY_BYTES; a task keeps k rows a query, and no vector is moved.
     """
-    first = knn_join(centroids, queries, nprobe, metric, exact).select("qid", F.col("id").alias("centroid_id"))
-    cand = first.join(inlined, "centroid_id").select("qid", F.col("vec_id").alias("id"), "vec").dropDuplicates(["qid", "id"])
-    q = queries.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
-    return top_k(cand.join(q, "qid").select("qid", "id", V.distance("vec", "qvec", metric, exact).alias("dist")), k)
+    spark = inlined.sparkSession
+    lists_ = centroids.count()
+    every = nprobe >= lists_  # then the order of the lists does not matter
+    queries = queries.select(F.col("id").cast("long"), "vec").persist()
+    count, size = _size(queries)
+    first = None if every else knn_join(centroids, queries, nprobe, metric, exact).select("qid", F.col("id").alias("centroid_id")).persist()
+    kind = "long" if exact else "double"
+    parts = []
+    for qid, q in _blocks(queries, size + (0 if every else 16 * nprobe * count), QUERY_BYTES):
+        pairs = None
+        if not every:
+            asked = spark.createDataFrame(pa.table({"qid": qid})) if len(qid) < count else None
+            got = (first if asked is None else first.join(asked, "qid", "left_semi")).orderBy("centroid_id", "qid").toArrow()
+            pairs = got.column(1).to_numpy(), np.searchsorted(qid, got.column(0).to_numpy())
+        shared = spark.sparkContext.broadcast((qid, q, pairs))
+
+        def near(batches, shared=shared):
+            qid, q, pairs = shared.value
+            best = Nearest(qid, operand(q, exact), k, metric, exact)
+            step = max(1, min(4096, CELLS // len(qid)))
+            for batch in batches:
+                for a in range(0, batch.num_rows, step):
+                    part = batch.slice(a, step)
+                    ids, at, back = np.unique(part.column(1).to_numpy(zero_copy_only=False), return_index=True, return_inverse=True)
+                    mask = None
+                    if pairs is not None:
+                        lists, where = np.unique(part.column(0).to_numpy(zero_copy_only=False), return_inverse=True)
+                        of = np.searchsorted(lists, pairs[0])
+                        of[of == len(lists)] = 0
+                        asks = np.zeros((len(qid), len(lists)), bool)
+                        hit = lists[of] == pairs[0]
+                        asks[pairs[1][hit], of[hit]] = True
+                        mask = np.zeros((len(qid), len(ids)), bool)
+                        np.logical_or.at(mask.T, back, asks[:, where].T)
+                    b = operand(matrix(part.column(2)), exact)[at]
+                    best.add(ids, b, np.einsum("ij,ij->i", b, b), mask)
+            yield best.batch().select(["qid", "id", "dist"])
+
+        parts.append(inlined.select(F.col("centroid_id").cast("long"), F.col("vec_id").cast("long"), "vec").mapInArrow(near, f"qid long, id long, dist {kind}"))
+    queries.unpersist()
+    if first is not None:
+        first.unpersist()
+    if not parts:
+        return spark.createDataFrame([], f"qid long, rnk int, id long, dist {kind}")
+    return top_k(_united(parts).dropDuplicates(["qid", "id"]), k)
 
 
 def codebook(base: DataFrame, chunks: int, words: int) -> DataFrame:
