@@ -14,7 +14,8 @@
    on the posterior labels.
 
 Training uses a bounded sample, per_class labelled rows a class and as many unlabelled
-ones (smallest id hash) of texts of at most max_chars characters, never held-out rows.
+ones (smallest id hash) of texts of at most max_chars characters, never held-out rows. Its
+features are counted a lot of texts at a time; only those that a rule uses are held.
 Scoring reads whole texts.
 
 Defined results for odd input: null and empty texts get the classifier's prior; with no
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectide.llm import textbuf
-from vectide.llm.common import materialize, tidy
+from vectide.llm.common import materialize, release, tidy
 from vectide.llm.language_id import held_out
 from vectide.llm.ngram_join import lots
 
@@ -82,23 +83,56 @@ def again(slot: np.ndarray, times: int) -> np.ndarray:
     return ((slot.astype(np.int64) + 1) * (2654435761 + 2 * times) >> 7 & ((1 << BITS) - 1)).astype(np.int32)
 
 
-def presence(texts: list[str | None], wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, slot) pairs, each once: features in one, two and three or more different words.
+def counted(texts: list[str | None], wanted: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sorted (text, slot, in how many different words) of the features whose slot is wanted, some whole texts at a time."""
+    kept, mask = np.zeros(0, np.int64), (1 << BITS) - 1
 
-    Only features whose slot is wanted are counted.
-    """
-    found = []
-    for at, lot in textbuf.parts(texts):
+    def tally(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, count = np.unique(key >> BITS, return_counts=True)
+        return key >> BITS, (key & mask).astype(np.int32), count
+
+    for at, lot in textbuf.parts(texts, limit):
         f = word_features(*(w := textbuf.words(lot))[:3])
         word, kind = np.nonzero((f >= 0) & wanted[f])
         key = np.asarray(at, np.int64)[w[3][word]] << (2 * BITS) | f[word, kind].astype(np.int64) << BITS | f[word, 0]
-        found.append(np.unique(key))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int32)
-    key, count = np.unique(np.unique(np.concatenate(found)) >> BITS, return_counts=True)
-    row, slot = key >> BITS, (key & ((1 << BITS) - 1)).astype(np.int32)
-    more = [(row[count >= t], again(slot[count >= t], t)) for t in TIMES]
-    return np.concatenate([r for r, _ in more]), np.concatenate([c for _, c in more])
+        key = np.unique(np.concatenate([kept, key]))
+        last = np.searchsorted(key, at[-1] << (2 * BITS))  # that text may go on in the next lot
+        kept = key[last:].copy()
+        yield tally(key[:last])
+    yield tally(kept)
+
+
+def presence(texts: list[str | None], wanted: np.ndarray, limit: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(text, slot) pairs, each once: features in one, two and three or more different words.
+
+    Only features whose slot is wanted are counted.
+    """
+    rows, slots = ([[] for _ in TIMES] for _ in range(2))
+    for row, slot, count in counted(texts, wanted, limit):
+        for i, t in enumerate(TIMES):
+            rows[i].append(row[count >= t])
+            slots[i].append(again(slot[count >= t], t))
+    return np.concatenate(sum(rows, [])), np.concatenate(sum(slots, []))
+
+
+def sources(slots: np.ndarray) -> np.ndarray:
+    """Which slots a word's features must have to end, once or more often in a text, in the marked slots."""
+    every = np.arange(1 << BITS, dtype=np.int32)
+    return np.logical_or.reduce([slots[again(every, t)] for t in TIMES])
+
+
+def class_counts(texts: list[str | None], y: np.ndarray, limit: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """In how many toxic and in how many other labelled texts each slot stands; holds a lot of texts at a time."""
+    told = np.flatnonzero(np.isfinite(y))
+    mark = y[told] == 1
+    found = np.zeros((2, 1 << BITS))
+    for row, slot, count in counted([texts[i] for i in told], np.ones(1 << BITS, bool), limit):
+        for t in TIMES:
+            some = count >= t
+            at, toxic = again(slot[some], t), mark[row[some]]
+            found[0] += np.bincount(at[toxic], minlength=1 << BITS)
+            found[1] += np.bincount(at[~toxic], minlength=1 << BITS)
+    return found[0], found[1]
 
 
 @dataclass
@@ -180,8 +214,7 @@ class Model:
     bias: float
 
     def __post_init__(self):
-        every = np.arange(1 << BITS, dtype=np.int32)
-        self.wanted = np.logical_or.reduce([self.weight[again(every, t)] != 0 for t in TIMES])
+        self.wanted = sources(self.weight != 0)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         row, slot = presence(texts, self.wanted)
@@ -189,12 +222,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def panel(row: np.ndarray, slot: np.ndarray, y: np.ndarray, voters: int, least: int, lift_min: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(toxic lexicon, slots that vote toxic, slots that vote clean, z) from labelled rows; y is nan where no label is."""
-    told = np.isfinite(y)
+def panel(c1: np.ndarray, c0: np.ndarray, y: np.ndarray, voters: int, least: int, lift_min: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(toxic lexicon, slots that vote toxic, slots that vote clean, z) from class_counts; y is nan where no label is."""
     n1, n0 = (y == 1).sum(), (y == 0).sum()
-    mine = told[row]
-    c1, c0 = (np.bincount(slot[mine], y[row[mine]] == v, 1 << BITS) for v in (1, 0))
     p1, p0 = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
     z = (np.log(p1 / (1 - p1)) - np.log(p0 / (1 - p0))) / np.sqrt(1 / (c1 + 0.5) + 1 / (c0 + 0.5))
     lift = np.log(p1 / p0)
@@ -228,14 +258,16 @@ def train(texts: list[str | None], toxic: list[int | None], voters: int = 200, l
     y = np.array([np.nan if v is None else v for v in toxic], float)
     if not (y == 1).any() or not (y == 0).any():
         return Model(np.zeros(1 << BITS, np.float32), -60.0)
-    row, slot = presence(texts, np.ones(1 << BITS, bool))
-    lexicon, pro, con, z = panel(row, slot, y, voters, least, lift_min)
+    lexicon, pro, con, z = panel(*class_counts(texts, y), y, voters, least, lift_min)
+    used = np.flatnonzero(z > z_min)
+    need = np.zeros(1 << BITS, bool)
+    need[np.concatenate([lexicon, pro, con, used])] = True
+    row, slot = presence(texts, sources(need), 1 << 18)
     count = hits(row, slot, len(y), lexicon)
     cut = max(range(1, 100), key=lambda t: (count[y == 1] >= t).mean() + (count[y == 0] < t).mean())
     votes = cast(row, slot, count, cut, pro, con)
     q = fit_label_model(votes, y).posterior(votes)
     place = np.full(1 << BITS, -1)
-    used = np.flatnonzero(z > z_min)
     place[used] = np.arange(len(used))
     mine = place[slot] >= 0
     r, f = row[mine], place[slot[mine]]
@@ -268,6 +300,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, ma
     """(doc_id, score) for every row of docs."""
     sample = training_rows(docs, labels, per_class, max_chars)
     model = train([r.text for r in sample], [None if r.toxic is None else int(r.toxic) for r in sample])
+    del sample
+    release()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
