@@ -20,9 +20,9 @@ the list's first only, or with its neighbour where the first is too small; links
 that way nearly always join the list in one component, and then its other pairs cannot
 change the result. The list of a token that occurs more than SPLIT times is dealt to
 several tasks, and the firsts of its parts meet. Lists that still span several components
-yield the pairs of nearby sizes across components (exact, and empty for groups of copies).
-Pairs are checked by a bitmap bound that never rejects a link, then by the exact
-intersection; first one partner a text, then what still lies across components.
+are compared block by block across components (exact, and empty for groups of copies), see
+`_open_links`. The pairs before are checked by a bitmap bound that never rejects a link, then
+by the exact intersection; first one partner a text, then what still lies across components.
 
 Nothing of a text but its prefix hashes is shuffled before pairs exist; sets move only
 for texts in candidate pairs.
@@ -41,7 +41,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectide.llm.common import components, discard, materialize, small_side, tidy
@@ -54,6 +54,8 @@ HEAVY_MOST = 1 << 18
 HEAD = 42
 #: Lists of more frequent tokens than this are dealt to several tasks.
 SPLIT = 4096
+#: Tokens of a block of a list that still spans components, and what a member counts for at least.
+BLOCK, LEAST = 1 << 20, 512
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -533,6 +535,102 @@ def _forest(first: DataFrame) -> DataFrame:
     return materialize(tops.unionByName(below).distinct(), "join-comp")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that agree in the first three columns, from batches sorted by them."""
+    held, now = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.stack([batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3)], 1)
+        edges = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1).tolist(), len(k)]
+        for lo, hi in zip(edges, edges[1:]):
+            if held and tuple(k[lo]) != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            now = tuple(k[lo])
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _may_link(run: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second, which) of a run of _open_links: its members of either block, and which pairs of them may link."""
+    i, j, block, ident, n, f, c = (run.column(k).to_numpy().astype(np.int64) for k in range(1, 8))
+    order = np.lexsort((ident, n))
+    first, second = order[block[order] == i[0]], order[block[order] == j[0]]
+    which = np.zeros((len(first), len(second)), bool)
+    for a in range(0, len(first), 256):
+        x = first[a : a + 256, None]
+        which[a : a + 256] = (c[x] != c[second]) & _fits(n[x], n[second], f[x], f[second], num, den)
+    return first, second, np.triu(which, 1) if i[0] == j[0] else which
+
+
+def _common(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
+    """Sizes of the intersections of sets, by first and second; products of 0-1 matrices of at most about cells."""
+    token, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(n > 1) - 1
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    some = n[at] > 1
+    owner, at = owner[some], place[at[some]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    out = np.zeros((len(first), len(second)), np.float32)
+    width = max(1, cells // max(1, len(sets)))
+    for lo in range(0, int((n > 1).sum()), width):
+        a, b = np.searchsorted(at, (lo, lo + width))
+        m = np.zeros((len(sets), width), np.float32)
+        m[owner[a:b], at[a:b] - lo] = 1
+        out += m[first] @ m[second].T
+    return out.astype(np.int64)
+
+
+def _open_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) across components within lists; members are (key, id, n, flags, component).
+
+    A list is cut into blocks by rising size of set, of about BLOCK tokens and at most
+    BLOCK / LEAST members; a task meets two of them. Pairs are told apart in arrays and never
+    become rows: first what the places allow, then, with the sets of the members that still
+    have a partner, the exact intersections as a product of matrices. Every pair that may be a
+    link is met in its list, so what is compared grows with the square of a list across
+    components, what is moved with its length times its blocks.
+    """
+    order = Window.partitionBy("key").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, 0)
+    block = F.floor((F.sum(F.greatest(F.col("n"), F.lit(LEAST)).cast("long")).over(order) - 1) / BLOCK).cast("int")
+    dealt = materialize(members.select("key", block.alias("block"), "id", "n", "flags", "component"), "join-blocks")
+    blocks = dealt.groupBy("key", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("component").alias("c"), F.max("component").alias("d"))
+    x, y = (blocks.select("key", *[F.col(c).alias(f"{c}{i}") for c in blocks.columns[1:]]) for i in (1, 2))
+    met = x.join(y, "key").where("block1 <= block2").where((F.col("hi1").cast("long") * den >= F.col("lo2").cast("long") * num) & (F.least("c1", "c2") < F.greatest("d1", "d2")))
+    met = met.select("key", F.col("block1").alias("i"), F.col("block2").alias("j"), F.explode(F.array_distinct(F.array("block1", "block2"))).alias("block"))
+    rows = dealt.join(met, ["key", "block"]).select("key", "i", "j", "block", "id", "n", "flags", "component")
+
+    def partners(batches):
+        for run in _runs(batches):
+            first, second, which = _may_link(run, num, den)
+            keep = np.unique(np.concatenate([first[which.any(1)], second[which.any(0)]]))
+            if len(keep):
+                yield from run.take(keep).to_batches()
+
+    def links(batches):
+        for run in _runs(batches):
+            first, second, which = _may_link(run, num, den)
+            ident, n = (run.column(c).to_numpy().astype(np.int64) for c in (4, 5))
+            items = [s.values.to_numpy() for s in run.column(8)]
+            inter = _common(items, first, second)
+            hit = which & (inter * den >= (n[first][:, None] + n[second] - inter) * num)
+            a, b = (ident[z] for z in (first[np.nonzero(hit)[0]], second[np.nonzero(hit)[1]]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    by = ["key", "i", "j"]
+    kind = "key long, i int, j int, block int, id long, n int, flags int, component long"
+    some = materialize(rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(tidy(partners), kind), "join-partners")
+    ids = materialize(some.select("id").distinct(), "join-ids")
+    full = some.join(sets.join(small_side(ids, 16), "id", "left_semi").select("id", "items"), "id").select(*some.columns, "items")
+    found = full.repartition(*by).sortWithinPartitions(*by).mapInArrow(tidy(links), "a long, b long")
+    out = materialize(found.distinct(), "join-links")
+    discard(dealt, some, ids)
+    return out
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """One row per row of docs: id, n_shingles, class_id (smallest id of an equal set), component_id."""
     bounds = Bounds(num, den)
@@ -570,14 +668,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     split = materialize(member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "join-open")
     left = materialize(member.join(small_side(split, 24), "key", "left_semi"), "join-split")
     discard(got, member, split, wanted)
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
-    l1 = left.select("key", F.col("id").alias("i1"), F.col("n").alias("n1"), F.col("flags").alias("f1"), F.col("component").alias("c1"), F.explode(F.array(band, band + 1, band + 2)).alias("band"))
-    l2 = left.select("key", F.col("id").alias("i2"), F.col("n").alias("n2"), F.col("flags").alias("f2"), F.col("component").alias("c2"), band.alias("band"))
-    across = l1.join(l2, ["key", "band"]).where((F.col("c1") != F.col("c2")) & (F.struct("n1", "i1") < F.struct("n2", "i2")) & _fits(F.col("n1"), F.col("n2"), F.col("f1"), F.col("f2"), num, den))
-    across = across.select(F.least("i1", "i2").alias("a"), F.greatest("i1", "i2").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    across = materialize(_possible(across, sets, num, den), "join-across")
-    late = materialize(_links(across, sets, num, den), "join-links")
-    discard(left, across, sets, pairs, maybe)
+    late = _open_links(left, sets, num, den)
+    discard(left, sets, pairs, maybe)
     maps.append(materialize(components(_across(late, maps), "ca", "cb"), "join-comp"))
     out = _mapped(slim.withColumn("component", F.col("rep")), "component", maps)
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.col("component").alias("component_id"))
