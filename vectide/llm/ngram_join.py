@@ -584,15 +584,36 @@ def _common(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, cells
     return out.astype(np.int64)
 
 
+def _joining(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Which of the links a b join nodes that those before leave apart; the others change no component."""
+    pair, at = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True)
+    top: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := top.get(x, x)) != x:
+            top[x] = top.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for (x, y), i in zip(pair.tolist(), at.tolist()):
+        x, y = root(x), root(y)
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            out.append(i)
+    return out
+
+
 def _open_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) across components within lists; members are (key, id, n, flags, component).
+    """Links (a, b) that join components within lists; members are (key, id, n, flags, component).
 
     A list is cut into blocks by rising size of set, of about BLOCK tokens and at most
     BLOCK / LEAST members; a task meets two of them. Pairs are told apart in arrays and never
     become rows: first what the places allow, then, with the sets of the members that still
-    have a partner, the exact intersections as a product of matrices. Every pair that may be a
-    link is met in its list, so what is compared grows with the square of a list across
-    components, what is moved with its length times its blocks.
+    have a partner, the exact intersections as a product of matrices. Of a run's links those
+    are returned that join what the others leave apart, so the components are those of all
+    links. Every pair that may be a link is met in its list, so what is compared grows with
+    the square of a list across components, what is moved with its length times its blocks.
     """
     order = Window.partitionBy("key").orderBy("n", "id").rowsBetween(Window.unboundedPreceding, 0)
     block = F.floor((F.sum(F.greatest(F.col("n"), F.lit(LEAST)).cast("long")).over(order) - 1) / BLOCK).cast("int")
@@ -617,7 +638,9 @@ def _open_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
             items = [s.values.to_numpy() for s in run.column(8)]
             inter = _common(items, first, second)
             hit = which & (inter * den >= (n[first][:, None] + n[second] - inter) * num)
-            a, b = (ident[z] for z in (first[np.nonzero(hit)[0]], second[np.nonzero(hit)[1]]))
+            a, b = first[np.nonzero(hit)[0]], second[np.nonzero(hit)[1]]
+            some = _joining(*(run.column(7).to_numpy()[z] for z in (a, b)))
+            a, b = ident[a[some]], ident[b[some]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     by = ["key", "i", "j"]
