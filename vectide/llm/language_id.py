@@ -38,6 +38,8 @@ BITS = 16
 ORDERS = 4
 #: Words and padding that are scored at once, but for a longer chain by itself.
 AT_ONCE = 1 << 17
+#: Words whose features are held at once.
+SLICE = 1 << 14
 _MULT = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i in range(64)], np.uint64)
 
@@ -90,6 +92,11 @@ class Crf:
             e += self.w[k][slots[:, k]]
         return np.add.reduceat(e, bounds, axis=0) if len(bounds) else e[:0]
 
+    def scores(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Word x label scores of words of a buffer, features being held for SLICE words at a time."""
+        some = [slice(a, a + SLICE) for a in range(0, max(1, len(starts)), SLICE)]
+        return np.concatenate([self.emissions(*features(buf, starts[s], ends[s])) for s in some])
+
     def posteriors(self, e: np.ndarray, on: np.ndarray, pairs: bool = False):
         """Label posteriors of padded chains e (time, chain, label), on (time, chain) marking words.
 
@@ -195,7 +202,7 @@ def classify(crf: Crf | None, texts: list[str | None]) -> tuple[list[str], np.nd
         buf, starts, ends, part = textbuf.words(lot)
         if not len(starts):
             continue
-        e = crf.emissions(*features(buf, starts, ends))
+        e = crf.scores(buf, starts, ends)
         first = np.flatnonzero(np.diff(part, prepend=-1))
         chain = sorted(zip(first.tolist(), np.append(first[1:], len(part)).tolist()), key=lambda x: x[0] - x[1])
         lo = 0
