@@ -7,6 +7,9 @@ and not null. Null texts have no language and go in the first stage, as texts wi
 letter do; given to a later stage they stay as they are. Rows that repeat a doc_id and its
 text share every verdict. Ties go by the smallest doc_id, or for lines (doc_id, line
 number). An empty table stays empty.
+
+Stages that run Python set spark.sql.execution.arrow.maxBytesPerBatch in the session if it
+is not set there.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectide.llm.common import materialize, quoted, small_side, unused
+from vectide.llm.common import materialize, quoted, small_batches, small_side, unused
 from vectide.llm.decontaminate import leaking_documents
 from vectide.llm.language_id import identify
 from vectide.llm.line_dedup import line_dedup
@@ -27,6 +30,7 @@ LEAST_SCORE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows; texts without a letter go."""
+    small_batches(spark)
     clash = {c: unused(f"own_{c}", docs.columns) for c in docs.columns if c.lower() in ("lang_pred", "lang_score")}
     got = identify(docs.withColumnsRenamed(clash))
     got = got.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE))
@@ -48,6 +52,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest id of each near-duplicate component."""
+    small_batches(spark)
     groups = similar_groups(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(small_side(materialize(groups, "pipeline-near"), 16), "doc_id", "left_anti")
 
@@ -60,6 +65,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every text, the scores of its best segmentations, and whether the ids decode to the text."""
+    small_batches(spark)
     got = encode(docs.select("doc_id", "text"))
     return got.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", F.transform("nbest", lambda x: x["score"]).alias("scores"), "decoded_ok")
 

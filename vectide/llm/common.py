@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 24 * 1024 * 1024
 #: Bytes of an edge in the size check, and edges a task reads of an exchange while all edges pass it.
 EDGE_BYTES, PART_EDGES = 48, 65_536
+#: Bytes of rows that Spark hands to a Python worker at a time after small_batches().
+BATCH_BYTES = 4 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -100,6 +102,18 @@ def unused(name: str, taken: list[str]) -> str:
     return name
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let Spark hand rows to Python workers in batches of about BATCH_BYTES; its own bound is 64 MB, or 10,000 rows.
+
+    The JVM and the worker each hold a batch. This is a setting of the session, read when a
+    DataFrame runs, so it stays; one that the session has already is left as it is. It decides
+    how many rows come at a time, not which.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, BATCH_BYTES)
+
+
 def release() -> None:
     """Give freed memory of a Python worker back to the system, which it would else keep while idle."""
     gc.collect()

@@ -61,7 +61,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _M = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _K = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(64)], np.uint64)
-_PIECE = 1 << 20
+#: Bytes of text hashed at once; a worker holds about 60 bytes for each.
+_PIECE = 1 << 18
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -188,14 +189,13 @@ def _statistics(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, d
         held, size, seen, sizes = [], 0, set(), Counter()
 
         def flush():
-            tok = np.sort(np.concatenate(held))
-            group = (tok >> np.uint64(64 - bits)).astype(np.int64)
-            low = ((tok << np.uint64(bits)) >> np.uint64(64 + bits - HEAD)).astype("<u4")
-            first = np.flatnonzero(np.diff(group, prepend=-1))
-            ends = np.append(first[1:], len(tok))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(group[first], pa.int32()), pa.array([low[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()), pa.nulls(len(first), pa.int64())], names=["part", "heads", "n"]
-            )
+            tok = np.concatenate(held)
+            held.clear()
+            tok.sort()
+            edges = np.append(np.searchsorted(tok, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(tok))
+            group = np.flatnonzero(np.diff(edges))
+            low = [((tok[a:b] << np.uint64(bits)) >> np.uint64(64 + bits - HEAD)).astype("<u4").tobytes() for a, b in zip(edges[group], edges[group + 1])]
+            return pa.RecordBatch.from_arrays([pa.array(group, pa.int32()), pa.array(low, pa.binary()), pa.nulls(len(group), pa.int64())], names=["part", "heads", "n"])
 
         for _, sets in _batches(batches, words):
             for s in sets:
@@ -206,7 +206,7 @@ def _statistics(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray, d
                     size += len(s)
             if size > 1 << 20:
                 yield flush()
-                held, size = [], 0
+                size = 0
         if held:
             yield flush()
         if sizes:

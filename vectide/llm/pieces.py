@@ -191,9 +191,9 @@ def nbest_chain(losses: list[list[float]], n: int) -> list[tuple[float, list[int
 
 
 class Encoder:
-    """Encodes texts, keeping what it learned of distinct blocks."""
+    """Encodes texts, keeping what it learned of distinct blocks until there are more than keep of them."""
 
-    def __init__(self, path: str, n: int, keep: int = 300_000):
+    def __init__(self, path: str, n: int, keep: int = 100_000):
         self.v, self.n, self.keep = vocabulary(path), n, keep
         self.reset()
 
