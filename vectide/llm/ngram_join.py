@@ -24,8 +24,9 @@ are compared block by block across components (exact, and empty for groups of co
 `_open_links`. The pairs before are checked by a bitmap bound that never rejects a link, then
 by the exact intersection; first one partner a text, then what still lies across components.
 
-Nothing of a text but its prefix hashes is shuffled before pairs exist; sets move only
-for texts in candidate pairs.
+Nothing of a text but its prefix hashes is shuffled before pairs exist. Bitmaps, an eighth
+of a set or less, move for texts in candidate pairs and open lists; sets are written and
+moved only for texts with a partner that the bitmaps leave.
 
 Defined results for odd input: null and empty texts have no shingles and are their own
 component; ids are expected to be unique and not null; rows that repeat an id and text
@@ -35,7 +36,7 @@ each get a row; an empty table gives no rows; further columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import components, discard, materialize, small_side, tidy
+from vectide.llm.common import components, discard, fits, materialize, maybe_in, small_side, tidy
 
 LIGHT = 12
 HEAVY_LEAST = 10
@@ -457,29 +458,38 @@ def _bitmap(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.int64)
 
 
+def _of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of a materialized table of ids; of many ids also some others, and no text is shuffled."""
+    return texts.join(F.broadcast(ids), "id", "left_semi") if fits(ids, 16) else maybe_in(texts, "id", ids)
+
+
+def _bits(texts: DataFrame, words: int) -> DataFrame:
+    def run(batches):
+        for ids, sets in _batches(batches, words):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([_bitmap(s) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "bits"]
+            )
+
+    return texts.mapInArrow(tidy(run), "id long, n int, bits array<bigint>")
+
+
 def _sets(texts: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for ids, sets in _batches(batches, words):
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([_bitmap(s) for s in sets], pa.list_(pa.int64())),
-                    pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())),
-                ],
-                names=["id", "n", "bits", "items"],
+                [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["id", "n", "items"]
             )
 
-    return texts.mapInArrow(tidy(run), "id long, n int, bits array<bigint>, items array<bigint>")
+    return texts.mapInArrow(tidy(run), "id long, n int, items array<bigint>")
 
 
 def _linked(inter: Column, na: str, nb: str, num: int, den: int) -> Column:
     return inter * den >= (F.col(na).cast("long") + F.col(nb) - inter) * num
 
 
-def _possible(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _possible(pairs: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) that the bitmaps do not rule out."""
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
+    side = lambda x: bitmaps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"bits_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def fold(x: str, y: str) -> Column:
@@ -565,6 +575,34 @@ def _may_link(run: pa.Table, num: int, den: int) -> tuple[np.ndarray, np.ndarray
     return first, second, np.triu(which, 1) if i[0] == j[0] else which
 
 
+def _left_by_bits(which: np.ndarray, first: np.ndarray, second: np.ndarray, n: np.ndarray, bits: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """Those pairs of which, by first and second, that the bitmaps of the members do not rule out, as in _possible."""
+    size = np.array([len(b) for b in bits])
+    out = np.zeros_like(which)
+
+    def folded(members: np.ndarray, width: int) -> np.ndarray:
+        x = np.stack([bits[k] for k in members])
+        return np.bitwise_or.reduce(x.reshape(len(x), -1, width), 1)
+
+    for s in np.unique(size[first]):
+        rows = np.flatnonzero(size[first] == s)
+        for t in np.unique(size[second]):
+            cols = np.flatnonzero(size[second] == t)
+            part = which[np.ix_(rows, cols)]
+            rows_, cols_ = rows[part.any(1)], cols[part.any(0)]
+            if not len(rows_):
+                continue
+            x, y = folded(first[rows_], min(s, t)), folded(second[cols_], min(s, t))
+            ny = n[second[cols_]]
+            for r, bit in zip(rows_, x):
+                at = np.flatnonzero(which[r, cols_])
+                some, na = y[at], n[first[r]]
+                lost_a, lost_b = (np.bitwise_count(z).sum(1).astype(np.int64) for z in (bit & ~some, some & ~bit))
+                most = np.minimum(na - lost_a, ny[at] - lost_b)
+                out[r, cols_[at]] = most * den >= (na + ny[at] - most) * num
+    return out
+
+
 def _common(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, cells: int = 1 << 22) -> np.ndarray:
     """Sizes of the intersections of sets, by first and second; products of 0-1 matrices of at most about cells."""
     token, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -604,13 +642,16 @@ def _joining(a: np.ndarray, b: np.ndarray) -> list[int]:
     return out
 
 
-def _open_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _open_links(members: DataFrame, sets: DataFrame | Callable[[DataFrame], DataFrame], num: int, den: int, bitmaps: DataFrame | None = None) -> DataFrame:
     """Links (a, b) that join components within lists; members are (key, id, n, flags, component).
 
     A list is cut into blocks by rising size of set, of about BLOCK tokens and at most
     BLOCK / LEAST members; a task meets two of them. Pairs are told apart in arrays and never
-    become rows: first what the places allow, then, with the sets of the members that still
-    have a partner, the exact intersections as a product of matrices. Of a run's links those
+    become rows: first what the places allow, then what the bitmaps of the members that still
+    have a partner do, then, with the sets of those left, the exact intersections as a product
+    of matrices. A set goes to every list and block that its text is met in, so only few may be
+    left by then. sets are (id, n, items), or a function that makes them for a table of ids;
+    without bitmaps (id, n, bits) that step is left out. Of a run's links those
     are returned that join what the others leave apart, so the components are those of all
     links. Every pair that may be a link is met in its list, so what is compared grows with
     the square of a list across components, what is moved with its length times its blocks.
@@ -627,9 +668,11 @@ def _open_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
     def partners(batches):
         for run in _runs(batches):
             first, second, which = _may_link(run, num, den)
+            if run.num_columns > 8 and which.any():
+                which = _left_by_bits(which, first, second, run.column(5).to_numpy().astype(np.int64), [b.values.to_numpy().view(np.uint64) for b in run.column(8)], num, den)
             keep = np.unique(np.concatenate([first[which.any(1)], second[which.any(0)]]))
             if len(keep):
-                yield from run.take(keep).to_batches()
+                yield from run.select(range(8)).take(keep).to_batches()
 
     def links(batches):
         for run in _runs(batches):
@@ -645,10 +688,17 @@ def _open_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> Data
 
     by = ["key", "i", "j"]
     kind = "key long, i int, j int, block int, id long, n int, flags int, component long"
-    some = materialize(rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(tidy(partners), kind), "join-partners")
+    dealt_out = lambda df: df.repartition(*by).sortWithinPartitions(*by)
+    some = materialize(dealt_out(rows).mapInArrow(tidy(partners), kind), "join-partners")
     ids = materialize(some.select("id").distinct(), "join-ids")
-    full = some.join(sets.join(small_side(ids, 16), "id", "left_semi").select("id", "items"), "id").select(*some.columns, "items")
-    found = full.repartition(*by).sortWithinPartitions(*by).mapInArrow(tidy(links), "a long, b long")
+    if bitmaps is not None:
+        own = bitmaps.join(small_side(ids, 16), "id", "left_semi").select("id", "bits")
+        near = materialize(dealt_out(some.join(own, "id").select(*some.columns, "bits")).mapInArrow(tidy(partners), kind), "join-near")
+        discard(some, ids)
+        some, ids = near, materialize(near.select("id").distinct(), "join-ids")
+    own = sets(ids) if callable(sets) else sets.join(small_side(ids, 16), "id", "left_semi")
+    full = some.join(own.select("id", "items"), "id").select(*some.columns, "items")
+    found = dealt_out(full).mapInArrow(tidy(links), "a long, b long")
     out = materialize(found.distinct(), "join-links")
     discard(dealt, some, ids)
     return out
@@ -679,8 +729,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "join-pairs")
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(lists.select("id")).distinct()
     wanted = materialize(wanted, "join-wanted")
-    sets = materialize(_sets(texts.join(small_side(wanted, 16), "id", "left_semi"), words), "join-sets")
-    maybe = materialize(_possible(pairs, sets, num, den), "join-possible")
+    bitmaps = materialize(_bits(_of(texts, wanted), words), "join-bits")
+    maybe = materialize(_possible(pairs, bitmaps, num, den), "join-possible")
+    paired = materialize(maybe.select(F.col("a").alias("id")).union(maybe.select("b")).distinct(), "join-paired")
+    sets = materialize(_sets(_of(texts, paired), words), "join-sets")
     first = maybe.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = materialize(_links(first, sets, num, den), "join-links")
     maps = [_forest(links)]
@@ -690,9 +742,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     member = materialize(_mapped(lists.withColumn("component", F.col("id")), "component", maps), "join-lists")
     split = materialize(member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), "join-open")
     left = materialize(member.join(small_side(split, 24), "key", "left_semi"), "join-split")
-    discard(got, member, split, wanted)
-    late = _open_links(left, sets, num, den)
-    discard(left, sets, pairs, maybe)
+    discard(got, member, split, wanted, paired, sets)
+    late = _open_links(left, lambda ids: _sets(_of(texts, ids), words), num, den, bitmaps)
+    discard(left, bitmaps, pairs, maybe)
     maps.append(materialize(components(_across(late, maps), "ca", "cb"), "join-comp"))
     out = _mapped(slim.withColumn("component", F.col("rep")), "component", maps)
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.col("rep").alias("class_id"), F.col("component").alias("component_id"))
