@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectide.llm.common import components, discard, fits, materialize, maybe_in, small_side, tidy
+from vectide.llm.common import components, discard, fits, materialize, maybe_in, small_batches, small_side, tidy
 
 LIGHT = 12
 HEAVY_LEAST = 10
@@ -650,7 +650,9 @@ def _open_links(members: DataFrame, sets: DataFrame | Callable[[DataFrame], Data
     become rows: first what the places allow, then what the bitmaps of the members that still
     have a partner do, then, with the sets of those left, the exact intersections as a product
     of matrices. A set goes to every list and block that its text is met in, so only few may be
-    left by then. sets are (id, n, items), or a function that makes them for a table of ids;
+    left by then: likely links share many lists, so each member is first compared with its first
+    partner in a list, every such pair once, and what that joins is no longer across components.
+    sets are (id, n, items), or a function that makes them for a table of ids;
     without bitmaps (id, n, bits) that step is left out. Of a run's links those
     are returned that join what the others leave apart, so the components are those of all
     links. Every pair that may be a link is met in its list, so what is compared grows with
@@ -672,7 +674,10 @@ def _open_links(members: DataFrame, sets: DataFrame | Callable[[DataFrame], Data
                 which = _left_by_bits(which, first, second, run.column(5).to_numpy().astype(np.int64), [b.values.to_numpy().view(np.uint64) for b in run.column(8)], num, den)
             keep = np.unique(np.concatenate([first[which.any(1)], second[which.any(0)]]))
             if len(keep):
-                yield from run.select(range(8)).take(keep).to_batches()
+                mate = np.zeros(run.num_rows, np.int64)
+                mate[first], has = second[which.argmax(1)], which.any(0)
+                mate[second[has]] = first[which.argmax(0)[has]]
+                yield from run.select(range(8)).append_column("mate", run.column(4).take(mate)).take(keep).to_batches()
 
     def links(batches):
         for run in _runs(batches):
@@ -687,18 +692,34 @@ def _open_links(members: DataFrame, sets: DataFrame | Callable[[DataFrame], Data
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     by = ["key", "i", "j"]
-    kind = "key long, i int, j int, block int, id long, n int, flags int, component long"
+    kind = "key long, i int, j int, block int, id long, n int, flags int, component long, mate long"
     dealt_out = lambda df: df.repartition(*by).sortWithinPartitions(*by)
-    some = materialize(dealt_out(rows).mapInArrow(tidy(partners), kind), "join-partners")
-    ids = materialize(some.select("id").distinct(), "join-ids")
-    if bitmaps is not None:
+    only = lambda df: materialize(df.select("id").distinct(), "join-ids")
+    own = lambda ids: sets(ids) if callable(sets) else sets.join(small_side(ids, 16), "id", "left_semi")
+
+    def likely(some: DataFrame) -> DataFrame:
+        ids = only(some)
         own = bitmaps.join(small_side(ids, 16), "id", "left_semi").select("id", "bits")
-        near = materialize(dealt_out(some.join(own, "id").select(*some.columns, "bits")).mapInArrow(tidy(partners), kind), "join-near")
+        near = materialize(dealt_out(some.join(own, "id").select(*rows.columns, "bits")).mapInArrow(tidy(partners), kind), "join-near")
         discard(some, ids)
-        some, ids = near, materialize(near.select("id").distinct(), "join-ids")
-    own = sets(ids) if callable(sets) else sets.join(small_side(ids, 16), "id", "left_semi")
-    full = some.join(own.select("id", "items"), "id").select(*some.columns, "items")
+        return near
+
+    some, early = materialize(dealt_out(rows).mapInArrow(tidy(partners), kind), "join-partners"), None
+    if bitmaps is not None and some.head(1):
+        some = likely(some)
+        pairs = materialize(some.select(F.least("id", "mate").alias("a"), F.greatest("id", "mate").alias("b")).distinct(), "join-mates")
+        ids = only(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        mated = materialize(own(ids), "join-mate-sets")
+        early = materialize(_links(pairs, mated, num, den), "join-links")
+        label = materialize(some.select(F.col("id").alias("node"), "component").distinct(), "join-comp")
+        joined = materialize(components(_across(early, [label]), "ca", "cb"), "join-comp")
+        after = materialize(_mapped(some, "component", [joined]), "join-near")
+        discard(some, pairs, ids, mated, label)
+        some = likely(after)
+    ids = only(some)
+    full = some.join(own(ids).select("id", "items"), "id").select(*rows.columns, "items")
     found = dealt_out(full).mapInArrow(tidy(links), "a long, b long")
+    found = found if early is None else found.unionByName(early)
     out = materialize(found.distinct(), "join-links")
     discard(dealt, some, ids)
     return out
@@ -752,6 +773,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op6_ngram_join(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of the whole documents table."""
+    small_batches(spark)
     return similar_groups(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
